@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, packing, sharding, token_files, toxicity, urls
+from . import embeddings, exact, language, packing, sharding, simhash, token_files, toxicity, urls
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -28,10 +28,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), 8)
 
 
+def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, sf_dir, "documents"), 4, 4)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_rows(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -44,7 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_token_output, op3_sharding, op6_toxicity, op8_exact_dedup, op9_url_filters, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_token_output, op3_sharding, op4_embedding_neardup, op6_toxicity, op7_simhash_neardup, op8_exact_dedup, op9_url_filters, op10_language_id)}
 
 _OP8 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

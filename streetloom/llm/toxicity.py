@@ -54,7 +54,7 @@ class FactorizationMachine:
     v: np.ndarray
 
     @classmethod
-    def fit(cls, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 2e-4, seed: int = 0) -> FactorizationMachine:
+    def fit(cls, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 500, rate: float = 0.05, decay: float = 1e-5, seed: int = 0) -> FactorizationMachine:
         """docs: buckets of each text; y: 0 or 1; weight: of each row. Adam over all rows at once, so always alike."""
         slot = np.full(1 << BITS, -1, np.int32)
         prior = float(np.clip((weight * y).sum() / max(weight.sum(), 1e-9), 1e-3, 1 - 1e-3)) if len(y) else 0.01
