@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, exact, language, packing, sharding, simhash, token_files, toxicity, urls
+from . import embeddings, exact, language, packing, pieces, sharding, simhash, token_files, toxicity, urls
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op5_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segment_nbest(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), 4, with_ids=False)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_token_output, op3_sharding, op4_embedding_neardup, op6_toxicity, op7_simhash_neardup, op8_exact_dedup, op9_url_filters, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_token_output, op3_sharding, op4_embedding_neardup, op5_sentencepiece_nbest, op6_toxicity, op7_simhash_neardup, op8_exact_dedup, op9_url_filters, op10_language_id)}
 
 _OP8 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
