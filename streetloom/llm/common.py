@@ -146,7 +146,7 @@ class TextBuffer:
         return v * np.uint64(0xC4CEB9FE1A85EC53)
 
 
-def text_groups(texts: list[str], most_chars: int = 1_500_000):
+def text_groups(texts: list[str], most_chars: int = 400_000):
     """(first, last) of runs of texts of at most so many characters; a longer text is a run by itself."""
     first, size = 0, 0
     for i, t in enumerate(texts):
