@@ -46,49 +46,65 @@ class PieceModel:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.piece[p] = (sp.get_score(i), (i,))
         self.byte_of = {i: b for b, i in self.byte.items()}
-        self.longest = max(map(len, self.piece), default=1)
         usual = min((s for s, _ in self.piece.values() if s > RESERVED), default=0.0)
         self.piece = {p: (max(s, usual), i) for p, (s, i) in self.piece.items()}
         self.byte_score = usual - BYTE_PENALTY
+        #: every beginning of a piece: the piece's score and id, or None if it isn't a piece itself
+        self.prefix = {p[:k]: self.piece.get(p[:k]) for p in self.piece for k in range(1, len(p) + 1)}
+        self.high = np.zeros(len(self.text), bool)
+        for i, b in self.byte_of.items():
+            if b < 128:
+                self.text[i] = chr(b)  # decodes alone, whatever stands beside it
+            else:
+                self.high[i] = True
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.piece)
         self.known: dict[str, tuple[float, bytes, float]] = {}
 
-    def _forward(self, s: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float], float, tuple[int, ...]]:
-        """The lattice by ends (start, score, ids), the best score of each prefix, how far the second best way is, the best ids."""
-        size, get, longest = len(s), self.piece.get, self.longest
+    def _forward(self, s: str, into: list[list] | None = None) -> tuple[list[float], float, tuple[int, ...]]:
+        """The best score of each prefix, how far the second best way is, the best ids; into gets the lattice's edges by their end."""
+        size, get = len(s), self.prefix.get
         low = float("-inf")
         best, second, back = [low] * (size + 1), [low] * (size + 1), [None] * (size + 1)
         best[0] = 0.0
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
         for a in range(size):
-            at, next_at, one = best[a], second[a], False
-            for e in range(a + 1, min(size, a + longest) + 1):
-                hit = get(s[a:e])
-                if hit is None:
-                    if e > a + 1 or one:
-                        continue
+            at, next_at = best[a], second[a]
+            one = e = a + 1
+            while e <= size:
+                hit = get(s[a:e], 0)
+                if hit == 0 and e > one:
+                    break
+                if not hit and e == one:  # no piece for the character itself
+                    stop = hit == 0
                     raw = s[a].encode("utf-8", "surrogatepass")
                     hit = self.byte_score * len(raw), tuple([self.byte[b] for b in raw])
-                one = True
-                score = hit[0]
-                into[e].append(edge := (a, *hit))
-                for total in (at + score, next_at + score):
-                    if total > best[e]:
-                        second[e], best[e], back[e] = best[e], total, edge
-                    elif total > second[e]:
-                        second[e] = total
+                else:
+                    stop = False
+                if hit:
+                    score = at + hit[0]
+                    held = best[e]
+                    if score > held:
+                        two = next_at + hit[0]
+                        best[e], second[e], back[e] = score, held if held > two else two, (a, hit[1])
+                    elif score > second[e]:
+                        second[e] = score
+                    if into is not None:
+                        into[e].append((a, *hit))
+                if stop:
+                    break
+                e += 1
         ids, e = [], size
         while e:
-            ids.append(back[e][2])
-            e = back[e][0]
-        return into, best, best[size] - second[size], tuple([i for part in reversed(ids) for i in part])
+            e, part = back[e]
+            ids.append(part)
+        return best, best[size] - second[size], tuple([i for part in reversed(ids) for i in part])
 
     def search(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of s, best first: A* from the end of s, bounded exactly by the forward scores.
 
         Of equal scores the forward pass's own way is first, then as the search reaches them.
         """
-        into, best, _, first = self._forward(s)
+        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(s) + 1)]
+        best, _, first = self._forward(s, into)
         out, turn = [], 0
         heap: list = [(-best[len(s)], 0, len(s), 0.0, None)]  # bound, order, position, score behind, path behind
         while heap and len(out) < n:
@@ -109,7 +125,7 @@ class PieceModel:
 
     def _learn(self, s: str) -> tuple[float, bytes, float]:
         """Score and ids of the best, distance to the second best."""
-        _, best, gap, ids = self._forward(s)
+        best, gap, ids = self._forward(s)
         self.known[s] = out = (best[-1], array("i", ids).tobytes(), gap)
         return out
 
@@ -156,20 +172,19 @@ class PieceModel:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: marks become spaces, the mark in front goes, byte pieces join to UTF-8 (wrong bytes: U+FFFD)."""
-        values = np.frombuffer(ids, np.int32).tolist()
-        if not self.byte_of.keys().isdisjoint(values):
-            parts, held = [], bytearray()
-            for i in values:
-                if i in self.byte_of:
-                    held.append(self.byte_of[i])
-                    continue
-                if held:
-                    parts.append(held.decode("utf-8", "replace"))
-                    held = bytearray()
-                parts.append(self.text[i])
-            parts.append(held.decode("utf-8", "replace"))
-        else:
-            parts = map(self.text.__getitem__, values)
+        values = np.frombuffer(ids, np.int32)
+        if not self.high[values].any():
+            return "".join(map(self.text.__getitem__, values.tolist())).replace(SPACE, " ")[1:]
+        parts, held = [], bytearray()
+        for i in values.tolist():
+            if self.high[i]:
+                held.append(self.byte_of[i])
+                continue
+            if held:
+                parts.append(held.decode("utf-8", "replace"))
+                held = bytearray()
+            parts.append(self.text[i])
+        parts.append(held.decode("utf-8", "replace"))
         return "".join(parts).replace(SPACE, " ")[1:]
 
 
