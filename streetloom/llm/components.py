@@ -39,7 +39,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     the shared folder. Hubs meet in partial aggregates and in joins that Spark splits at run time.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    e = materialize(e.mapInArrow(_forest, "a long, b long"), "edges")
+    e = materialize(e, "edges")  # written first: no two Python operators share a stage
     before = None
     while True:
         n, mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -5,8 +5,8 @@ from __future__ import annotations
 import os
 from array import array
 
-#: Pieces kept by one worker; at this many the cache starts anew.
-CACHE_PIECES = 700_000
+#: Pieces that one worker learns before the oldest go: those not used since the last time this many were new.
+CACHE_PIECES = 200_000
 #: Id that ends a document.
 END = (2).to_bytes(4, "little")
 
@@ -28,18 +28,19 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.pieces: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {}
-        pieces = self.pieces
+            self.older, self.pieces = self.pieces, {}
+        pieces, older = self.pieces, self.older
         cut = [t.split(" ") for t in texts]
         new = [p for p in set().union(*cut) if p not in pieces]
-        ok = [p for p in new if p and p == p.strip()]
-        pieces.update(dict.fromkeys(new))
+        pieces.update((p, older.get(p)) for p in new)
+        ok = [p for p in new if pieces[p] is None and p and p == p.strip()]
         pieces.update(zip(ok, self._whole([f" {p}" for p in ok])))
         heads = [c[0] if c[0] == c[0].strip() else "" for c in cut]
         out: list[bytes] = []
