@@ -20,6 +20,7 @@ CACHE_SEGMENTS = 800_000
 BYTE_PENALTY = 10.0
 #: Scores under this mark pieces that training never ranked; they count like the worst ranked one.
 RESERVED = -1e8
+LETTERS = r"[A-Za-z\u00c0-\u024f]"
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
 _models: dict[tuple[str, int], PieceModel] = {}
@@ -57,6 +58,10 @@ class PieceModel:
                 self.text[i] = chr(b)  # decodes alone, whatever stands beside it
             else:
                 self.high[i] = True
+        # places inside a segment that no piece spans: before such a mark after a letter, and around line breaks
+        closers = "".join(c for c in ".,;:!?" if not any(re.search(LETTERS + re.escape(c), p) for p in self.piece))
+        around = r"|(?<=\n)|(?=\n)" if not any("\n" in p for p in self.piece) else ""
+        self.joints = re.compile((f"(?<={LETTERS})(?=[{re.escape(closers)}])" if closers else r"(?!)") + around)
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.piece)
         self.known: dict[str, tuple[float, bytes, float]] = {}
 
@@ -124,7 +129,12 @@ class PieceModel:
         return out
 
     def _learn(self, s: str) -> tuple[float, bytes, float]:
-        """Score and ids of the best, distance to the second best."""
+        """Score and ids of the best, distance to the second best; from the segment's parts where no piece spans a place."""
+        parts = [s] if s[1:].isalpha() else [p for p in self.joints.split(s) if p]
+        if len(parts) > 1:
+            found = [self.known.get(p) or self._learn(p) for p in parts]
+            self.known[s] = out = (sum([f[0] for f in found]), b"".join([f[1] for f in found]), min([f[2] for f in found]))
+            return out
         best, gap, ids = self._forward(s)
         self.known[s] = out = (best[-1], array("i", ids).tobytes(), gap)
         return out
