@@ -1,4 +1,6 @@
 """All registered queries of the street-network engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.network import QUERIES
+from .plans.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
