@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FILE, ROW, gapless, materialize, text_groups, with_row_key
-from .tokens import END, encoder
+from .tokens import END, GROUP_CHARS, encoder
 
 Bins = list[tuple[int, tuple[int, ...]]]
 
@@ -124,7 +124,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             row, piece, start, length, crc = [], [], [], [], []
-            for lo, hi in text_groups(texts):
+            for lo, hi in text_groups(texts, GROUP_CHARS):
                 for i, ids in zip(range(lo, hi), enc.encode(texts[lo:hi])):
                     ids = memoryview(ids + END)
                     n = len(ids) // 4

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FILE, ROW, new_path, text_groups, with_row_key
-from .tokens import END, encoder
+from .tokens import END, GROUP_CHARS, encoder
 
 # Fixed values of the public seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -122,7 +122,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame
                 file = f"part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
                 out = store.open_output_stream(f"{at}/{file}", compression=None)
                 writer = Writer(out)
-            for lo, hi in text_groups(texts):
+            for lo, hi in text_groups(texts, GROUP_CHARS):
                 for i, raw in zip(range(lo, hi), enc.encode(texts[lo:hi])):
                     writer.add(ids[i], raw + END)
                     n += 1

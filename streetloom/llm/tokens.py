@@ -6,7 +6,9 @@ import os
 from array import array
 
 #: Pieces that one worker learns before the oldest go: those not used since the last time this many were new.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 350_000
+#: Texts are encoded in groups of about so many characters.
+GROUP_CHARS = 1_000_000
 #: Id that ends a document.
 END = (2).to_bytes(4, "little")
 
