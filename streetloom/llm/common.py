@@ -48,16 +48,19 @@ def with_row_key(df: DataFrame, *cols: Column | str) -> DataFrame:
 
     Repeated and null ids so stay apart. What isn't a plain file scan is written to the shared folder first.
     """
-    def keyed(d: DataFrame) -> DataFrame:
-        meta = d.metadataColumn("_metadata")
-        return d.select(*(cols or ["*"]), F.xxhash64(meta["file_path"]).alias(FILE), meta["row_index"].alias(ROW))
+    d = stored(df)
+    meta = d.metadataColumn("_metadata")
+    return d.select(*(cols or ["*"]), F.xxhash64(meta["file_path"]).alias(FILE), meta["row_index"].alias(ROW))
 
+
+def stored(df: DataFrame) -> DataFrame:
+    """df if its rows have places in files, else df written to the shared folder: what reads row keys twice starts here."""
     try:
-        out = keyed(df)
-        out.schema  # noqa: B018  resolves the hidden column
-        return out
+        meta = df.metadataColumn("_metadata")
+        df.select(meta["row_index"]).schema  # noqa: B018  resolves the hidden column
+        return df
     except (AnalysisException, AttributeError):
-        return keyed(materialize(df, "rows"))
+        return materialize(df, "rows")
 
 
 def chunks_of(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, SPACES, chunks_of, materialize, with_row_key
+from .common import FILE, ROW, SPACES, chunks_of, materialize, stored, with_row_key
 from .cqf import CountingQuotientFilter
 
 #: Up to so many repeated fingerprints (24 bytes a row) are broadcast; beyond it Spark joins by shuffle.
@@ -16,8 +16,8 @@ BROADCAST_ROWS = 1_000_000
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Row key, doc_id, normalised text, its digests, code points of the original."""
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = with_row_key(docs, docs["doc_id"], F.translate(text, SPACES, "").alias("norm"), F.char_length(text).alias("points"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = with_row_key(docs, "doc_id", F.translate(text, SPACES, "").alias("norm"), F.char_length(text).alias("points"))
     rows = rows.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
     return rows.withColumn("fp", F.xxhash64("norm"))
 
@@ -50,6 +50,7 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
     are one group. The row with most code points in the original stays, then the smallest doc_id (null last), then
     the first row: of wholly repeated rows exactly one stays. Empty table: no rows. Other columns are ignored.
     """
+    docs = stored(docs)
     narrow = materialize(_keyed(docs).drop("norm"), "digests")
     again = materialize(repeated_fingerprints(narrow), "repeated")
     if again.count() <= BROADCAST_ROWS:
@@ -65,6 +66,7 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """docs, with its own columns, without the rows whose text an other row keeps."""
+    docs = stored(docs)
     gone = dedup_rows(docs).where("not kept").select(F.col(FILE).alias("__lw_f"), F.col(ROW).alias("__lw_r"))
     d = with_row_key(docs)
     return d.join(gone, (d[FILE] == gone["__lw_f"]) & (d[ROW] == gone["__lw_r"]), "left_anti").select(*(d[c] for c in docs.columns))

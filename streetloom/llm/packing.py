@@ -140,7 +140,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
             at = pa.array(row, pa.int32())
             yield pa.record_batch({"doc_id": b.column(0).take(at), "f": b.column(2).take(at), "r": b.column(3).take(at), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    rows = with_row_key(docs, docs["doc_id"], docs["text"])
+    rows = with_row_key(docs, "doc_id", "text")
     return rows.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FILE} long, {ROW} long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -31,8 +31,8 @@ def shard_rows(docs: DataFrame, weights: list[float] | int = 8, grown_weight: fl
     weights = [1.0] * weights if isinstance(weights, int) else [float(w) for w in weights]
     if not weights or any(w <= 0 for w in weights):
         raise ValueError("weights must be positive")
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = with_row_key(docs, docs["doc_id"], (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = with_row_key(docs, "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = rows.select("*", rendezvous(F.col("doc_id"), weights).alias("shard"), rendezvous(F.col("doc_id"), [*weights, grown_weight]).alias("grown_shard"), F.lit("key").alias("law"))
     rows = materialize(rows, "shards")
     return gapless(rows, ["shard"], ["doc_id", FILE, ROW], "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, local_components, materialize, with_row_key
+from .common import FILE, ROW, local_components, materialize, stored, with_row_key
 from .components import components
 
 BITS = 64
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fp = np.fromiter((fingerprint(t or "", shingle) for t in b.column(1).to_pylist()), np.uint64, len(b))
             yield pa.record_batch({"doc_id": b.column(0), "f": b.column(2), "r": b.column(3), "fp": fp.view(np.int64)})
 
-    rows = with_row_key(docs, docs["doc_id"], docs["text"])
+    rows = with_row_key(docs, "doc_id", "text")
     return rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FILE} long, {ROW} long, fp long")
 
 
@@ -126,6 +126,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
 
 def keep_one_of_group(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
     """docs, with its own columns: of each group the row with the smallest doc_id stays (null last, then the first row)."""
+    docs = stored(docs)
     rows = materialize(_joined(docs, shingle, radius), "grouped")
     low = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", FILE, ROW)).alias("low")
     kept = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(low).select(F.col(f"low.{FILE}").alias("__lw_f"), F.col(f"low.{ROW}").alias("__lw_r"))

@@ -133,7 +133,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame
             yield pa.record_batch({"part": pa.array([part], pa.int32()), "file": [file], "docs": pa.array([n], pa.int64()), "ids": pa.array([total], pa.int64())})
 
     spark = docs.sparkSession
-    rows = with_row_key(docs, docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    rows = with_row_key(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = [F.asc_nulls_first("doc_id"), F.asc(FILE), F.asc(ROW)]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     files, start = [], 0
