@@ -20,12 +20,55 @@ CACHE_SEGMENTS = 800_000
 BYTE_PENALTY = 10.0
 #: Scores under this mark pieces that training never ranked; they count like the worst ranked one.
 RESERVED = -1e8
+#: Segments up to this length are learned many at a time, so many a step; longer ones and small rests one by one.
+STEP_CHARS, STEP_SEGMENTS, LEAST_STEP = 40, 4096, 48
 LETTERS = r"[A-Za-z\u00c0-\u024f]"
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
 _models: dict[tuple[str, int], PieceModel] = {}
 
 
+class Trie:
+    """The pieces' beginnings as states (0: none yet), followed by many characters in one step.
+
+    Steps (state, character) are in a table by a hash; those whose place is taken are in a sorted list.
+    """
+
+    _BITS, _MIX = 20, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, prefix: dict[str, tuple | None]):
+        state = {"": 0} | {p: i for i, p in enumerate(sorted(prefix), 1)}
+        #: id of the piece that a state is, or -1
+        self.piece = np.full(len(state), -1, np.int32)
+        keys, to = np.empty(len(prefix), np.int64), np.empty(len(prefix), np.int32)
+        for k, (p, hit) in enumerate(prefix.items()):
+            keys[k], to[k] = state[p[:-1]] << 21 | ord(p[-1]), state[p]
+            if hit:
+                self.piece[state[p]] = hit[1][0]
+        self.longest = max(map(len, prefix), default=1)
+        self.keys, self.to = np.full(1 << self._BITS, -1, np.int64), np.zeros(1 << self._BITS, np.int32)
+        at = self._place(keys)
+        self.keys[at], self.to[at] = keys, to
+        rest = np.flatnonzero(self.keys[at] != keys)
+        rest = rest[np.argsort(keys[rest])]
+        self.rest, self.rest_to = np.append(keys[rest], np.iinfo(np.int64).max), np.append(to[rest], 0)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * self._MIX >> np.uint64(64 - self._BITS)).view(np.int64)
+
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The states after one more character, 0 where no piece begins so."""
+        keys = state.astype(np.int64) << 21 | char
+        at = self._place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.to[at], 0)
+        other = np.flatnonzero((held != keys) & (held >= 0))
+        found = np.searchsorted(self.rest, keys[other])
+        same = self.rest[found] == keys[other]
+        out[other[same]] = self.rest_to[found[same]]
+        return out
+
+
 class PieceModel:
     """Pieces, their scores and byte pieces of a SentencePiece model without text normalisation.
 
@@ -47,11 +90,16 @@ class PieceModel:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.piece[p] = (sp.get_score(i), (i,))
         self.byte_of = {i: b for b, i in self.byte.items()}
+        self.byte_id = np.array([self.byte.get(b, -2) for b in range(128)], np.int32)
         usual = min((s for s, _ in self.piece.values() if s > RESERVED), default=0.0)
         self.piece = {p: (max(s, usual), i) for p, (s, i) in self.piece.items()}
         self.byte_score = usual - BYTE_PENALTY
         #: every beginning of a piece: the piece's score and id, or None if it isn't a piece itself
         self.prefix = {p[:k]: self.piece.get(p[:k]) for p in self.piece for k in range(1, len(p) + 1)}
+        self.trie = Trie(self.prefix)
+        self.score = np.full(len(self.text), float("-inf"))
+        for score, (i,) in self.piece.values():
+            self.score[i] = score
         self.high = np.zeros(len(self.text), bool)
         for i, b in self.byte_of.items():
             if b < 128:
@@ -132,13 +180,96 @@ class PieceModel:
         """Score and ids of the best, distance to the second best; from the segment's parts where no piece spans a place."""
         parts = [s] if s[1:].isalpha() else [p for p in self.joints.split(s) if p]
         if len(parts) > 1:
-            found = [self.known.get(p) or self._learn(p) for p in parts]
-            self.known[s] = out = (sum([f[0] for f in found]), b"".join([f[1] for f in found]), min([f[2] for f in found]))
-            return out
+            return self._join(s, [self.known.get(p) or self._learn(p) for p in parts])
         best, gap, ids = self._forward(s)
         self.known[s] = out = (best[-1], array("i", ids).tobytes(), gap)
         return out
 
+    def learn_many(self, segments: set[str]) -> None:
+        """What _learn learns, of all new ones among the segments, with one forward pass over many at a time."""
+        known, plain, made = self.known, set(), []
+        for s in segments:
+            if s in known:
+                continue
+            if not s[1:].isalpha():
+                parts = [p for p in self.joints.split(s) if p]
+                if len(parts) > 1:
+                    made.append((s, parts))
+                    plain.update(parts)
+                    continue
+            plain.add(s)
+        plain = [s for s in plain if s not in known]
+        short = sorted([s for s in plain if len(s) <= STEP_CHARS], key=len)
+        for k in range(0, len(short), STEP_SEGMENTS):
+            some = short[k: k + STEP_SEGMENTS]
+            if len(some) >= LEAST_STEP:
+                self._forward_many(some)
+        for s in plain:
+            if s not in known:
+                self._learn(s)
+        for s, parts in made:
+            self._join(s, [known[p] for p in parts])
+
+    def _join(self, s: str, found: list[tuple[float, bytes, float]]) -> tuple[float, bytes, float]:
+        self.known[s] = out = (sum([f[0] for f in found]), b"".join([f[1] for f in found]), min([f[2] for f in found]))
+        return out
+
+    def _forward_many(self, segments: list[str]) -> None:
+        """_forward over segments side by side, place by place; those with bytes of a longer character are left out.
+
+        Rows are places in the segment, columns are segments; what stands behind a segment's end is not read.
+        """
+        n, sizes = len(segments), np.fromiter(map(len, segments), np.int64, len(segments))
+        width, column = int(sizes.max()), np.arange(len(segments))
+        flat = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        char = np.zeros((width, n), np.int64)
+        char[at, np.repeat(column, sizes)] = flat
+        char = char.ravel()
+        deepest = min(width, self.trie.longest)
+        ids = np.full((deepest + 1, width * n), -1, np.int32)
+        start, state = np.arange(width * n), np.zeros(width * n, np.int32)
+        for d in range(1, deepest + 1):
+            state = self.trie.step(state, char[start + (d - 1) * n])
+            alive = state > 0
+            start, state = start[alive], state[alive]
+            ids[d, start] = self.trie.piece[state]
+            inside = start + d * n < width * n
+            start, state = start[inside], state[inside]
+        scores = np.where(ids >= 0, self.score[ids], -np.inf)
+        raw = np.flatnonzero(ids[1] < 0)
+        scores[1, raw] = self.byte_score * (1 + (char[raw] > 0x7F) + (char[raw] > 0x7FF) + (char[raw] > 0xFFFF))
+        ids[1, raw] = np.where(char[raw] < 128, self.byte_id[char[raw] & 127], -2)
+        ids, scores = ids.reshape(-1, width, n), scores.reshape(-1, width, n)
+        some = (ids != -1).any(axis=2)
+        best, second = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+        back = np.zeros((width + 1, n), np.int64)
+        best[0] = 0.0
+        for e in range(1, width + 1):
+            b, t, from_ = best[e], second[e], back[e]
+            for d in range(min(e, deepest), 0, -1):
+                if not some[d, e - d]:
+                    continue
+                score = best[e - d] + scores[d, e - d]
+                better = score > b
+                t[:] = np.where(better, np.maximum(b, second[e - d] + scores[d, e - d]), np.maximum(t, score))
+                from_[better] = d
+                np.maximum(b, score, out=b)
+        token, place, live = np.full((n, width), -1, np.int32), sizes.copy(), column
+        while len(live):
+            d = back[place[live], live]
+            place[live] -= d
+            token[live, place[live]] = ids[d, place[live], live]
+            live = live[place[live] > 0]
+        whole = ~(token == -2).any(axis=1)
+        last = np.cumsum((token >= 0).sum(axis=1)) * 4
+        data = token[token >= 0].astype("<i4").tobytes()
+        total = best[sizes, column]
+        gap = total - second[sizes, column]
+        for s, ok, f, a, z, g in zip(segments, whole.tolist(), total.tolist(), [0, *last[:-1].tolist()], last.tolist(), gap.tolist()):
+            if ok:
+                self.known[s] = (f, data[a:z], g)
+
     def _choices(self, s: str) -> list[tuple[float, bytes]]:
         """Loss and ids of the n best of a segment."""
         found = self.search(s, self.n)
@@ -159,11 +290,19 @@ class PieceModel:
 
         Segments are independent, so only the n - 1 whose second choice costs least can differ from their best.
         """
+        return self.nbest_of([text])[0]
+
+    def nbest_of(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
+        """nbest of each text; the segments of all are learned together."""
         if len(self.known) > CACHE_SEGMENTS:
             self.known = {}
-        known, learn = self.known, self._learn
-        cut = self.segments(text)
-        found = [known.get(s) or learn(s) for s in cut]
+        cuts = [self.segments(t) for t in texts]
+        self.learn_many(set().union(*cuts))
+        return [self._nbest(cut) for cut in cuts]
+
+    def _nbest(self, cut: list[str]) -> list[tuple[float, bytes]]:
+        known = self.known
+        found = [known[s] for s in cut]
         score, ids = sum([f[0] for f in found]), [f[1] for f in found]
         out = [(score, b"".join(ids))]
         if self.n > 1 and found:
@@ -215,10 +354,10 @@ def segment_nbest(docs: DataFrame, model: str, n: int = 4, with_ids: bool = True
         m = piece_model(model, n)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in text_groups(texts, 400_000):
+            for lo, hi in text_groups(texts, 2_000_000):
                 row, rank, score, size, crc, text, ids = ([] for _ in range(7))
-                for i in range(lo, hi):
-                    for r, (s, raw) in enumerate(m.nbest(texts[i]), 1):
+                for i, ways in zip(range(lo, hi), m.nbest_of(texts[lo:hi])):
+                    for r, (s, raw) in enumerate(ways, 1):
                         row.append(i)
                         rank.append(r)
                         score.append(s)
