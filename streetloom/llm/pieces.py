@@ -84,12 +84,11 @@ class PieceModel:
         self.n, self.text, self.piece, self.byte = n, [], {}, {}
         for i in range(sp.get_piece_size()):
             p = sp.id_to_piece(i)
-            self.text.append("" if sp.is_control(i) else p)
+            self.text.append(b"" if sp.is_control(i) else p.replace(SPACE, " ").encode())
             if sp.is_byte(i):
                 self.byte[int(p[1:-1], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.piece[p] = (sp.get_score(i), (i,))
-        self.byte_of = {i: b for b, i in self.byte.items()}
         self.byte_id = np.array([self.byte.get(b, -2) for b in range(128)], np.int32)
         usual = min((s for s, _ in self.piece.values() if s > RESERVED), default=0.0)
         self.piece = {p: (max(s, usual), i) for p, (s, i) in self.piece.items()}
@@ -100,12 +99,8 @@ class PieceModel:
         self.score = np.full(len(self.text), float("-inf"))
         for score, (i,) in self.piece.values():
             self.score[i] = score
-        self.high = np.zeros(len(self.text), bool)
-        for i, b in self.byte_of.items():
-            if b < 128:
-                self.text[i] = chr(b)  # decodes alone, whatever stands beside it
-            else:
-                self.high[i] = True
+        for b, i in self.byte.items():
+            self.text[i] = bytes([b])
         # places inside a segment that no piece spans: before such a mark after a letter, and around line breaks
         closers = "".join(c for c in ".,;:!?" if not any(re.search(LETTERS + re.escape(c), p) for p in self.piece))
         around = r"|(?<=\n)|(?=\n)" if not any("\n" in p for p in self.piece) else ""
@@ -301,12 +296,13 @@ class PieceModel:
         return [self._nbest(cut) for cut in cuts]
 
     def _nbest(self, cut: list[str]) -> list[tuple[float, bytes]]:
-        known = self.known
-        found = [known[s] for s in cut]
-        score, ids = sum([f[0] for f in found]), [f[1] for f in found]
+        if not cut:
+            return [(0, b"")]
+        scores, ids, gaps = zip(*map(self.known.__getitem__, cut))
+        score = sum(scores)
         out = [(score, b"".join(ids))]
-        if self.n > 1 and found:
-            gap = np.fromiter([f[2] for f in found], np.float64, len(found))
+        if self.n > 1:
+            gap = np.array(gaps)
             some = np.argsort(gap, kind="stable")[: self.n - 1] if len(gap) < 64 else np.sort(np.argpartition(gap, self.n - 2)[: self.n - 1])
             ways = {i: self._choices(cut[i]) for i in some.tolist()}
             best: list[tuple[float, tuple]] = [(0.0, ())]
@@ -321,20 +317,7 @@ class PieceModel:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: marks become spaces, the mark in front goes, byte pieces join to UTF-8 (wrong bytes: U+FFFD)."""
-        values = np.frombuffer(ids, np.int32)
-        if not self.high[values].any():
-            return "".join(map(self.text.__getitem__, values.tolist())).replace(SPACE, " ")[1:]
-        parts, held = [], bytearray()
-        for i in values.tolist():
-            if self.high[i]:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                parts.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            parts.append(self.text[i])
-        parts.append(held.decode("utf-8", "replace"))
-        return "".join(parts).replace(SPACE, " ")[1:]
+        return b"".join(map(self.text.__getitem__, array("i", ids)))[1:].decode("utf-8", "replace")
 
 
 def piece_model(path: str, n: int) -> PieceModel:
