@@ -285,39 +285,51 @@ class PieceModel:
 
         Segments are independent, so only the n - 1 whose second choice costs least can differ from their best.
         """
-        return self.nbest_of([text])[0]
+        return [(score, b"".join(spans)) for score, spans in self.nbest_of([text])[0]]
 
-    def nbest_of(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
-        """nbest of each text; the segments of all are learned together."""
+    def nbest_of(self, texts: list[str]) -> list[list[tuple[float, list[bytes]]]]:
+        """nbest of each text, ids in spans that a text's segmentations share; the segments of all are learned together."""
         if len(self.known) > CACHE_SEGMENTS:
             self.known = {}
         cuts = [self.segments(t) for t in texts]
         self.learn_many(set().union(*cuts))
         return [self._nbest(cut) for cut in cuts]
 
-    def _nbest(self, cut: list[str]) -> list[tuple[float, bytes]]:
+    def _nbest(self, cut: list[str]) -> list[tuple[float, list[bytes]]]:
         if not cut:
-            return [(0, b"")]
+            return [(0, [])]
         scores, ids, gaps = zip(*map(self.known.__getitem__, cut))
         score = sum(scores)
-        out = [(score, b"".join(ids))]
-        if self.n > 1:
-            gap = np.array(gaps)
-            some = np.argsort(gap, kind="stable")[: self.n - 1] if len(gap) < 64 else np.sort(np.argpartition(gap, self.n - 2)[: self.n - 1])
-            ways = {i: self._choices(cut[i]) for i in some.tolist()}
-            best: list[tuple[float, tuple]] = [(0.0, ())]
-            for i, choices in ways.items():
-                best = sorted((loss + g, (*chosen, (i, k))) for loss, chosen in best for k, (g, _) in enumerate(choices))[: self.n]
-            for loss, chosen in best[1:]:
-                other = list(ids)
-                for i, k in chosen:
-                    other[i] = ways[i][k][1]
-                out.append((score - loss, b"".join(other)))
+        if self.n == 1:
+            return [(score, [b"".join(ids)])]
+        gap = np.array(gaps)
+        some = np.argsort(gap, kind="stable")[: self.n - 1] if len(gap) < 64 else np.argpartition(gap, self.n - 2)[: self.n - 1]
+        some = sorted(some.tolist()) if len(gap) >= 64 else some.tolist()
+        ways = {i: self._choices(cut[i]) for i in some}
+        best: list[tuple[float, tuple]] = [(0.0, ())]
+        for i, choices in ways.items():
+            best = sorted((loss + g, (*chosen, (i, k))) for loss, chosen in best for k, (g, _) in enumerate(choices))[: self.n]
+        places = sorted(ways)
+        between = [b"".join(ids[a:z]) for a, z in zip([0, *(i + 1 for i in places)], [*places, len(ids)])]
+        out = []
+        for nth, (loss, chosen) in enumerate(best):
+            pick = dict(chosen)
+            spans = [between[0]]
+            for i, after in zip(places, between[1:]):
+                spans += (ways[i][pick[i]][1] if nth else ids[i], after)
+            out.append((score - loss if nth else score, spans))
         return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: marks become spaces, the mark in front goes, byte pieces join to UTF-8 (wrong bytes: U+FFFD)."""
-        return b"".join(map(self.text.__getitem__, array("i", ids)))[1:].decode("utf-8", "replace")
+        return self.decode_spans([ids], {})
+
+    def decode_spans(self, spans: list[bytes], known: dict[bytes, bytes]) -> str:
+        """The text of the spans' ids in a row; known keeps what each span stands for, for others that share it."""
+        for ids in spans:
+            if ids not in known:
+                known[ids] = b"".join(map(self.text.__getitem__, array("i", ids)))
+        return b"".join(map(known.__getitem__, spans))[1:].decode("utf-8", "replace")
 
 
 def piece_model(path: str, n: int) -> PieceModel:
@@ -340,13 +352,15 @@ def segment_nbest(docs: DataFrame, model: str, n: int = 4, with_ids: bool = True
             for lo, hi in text_groups(texts, 2_000_000):
                 row, rank, score, size, crc, text, ids = ([] for _ in range(7))
                 for i, ways in zip(range(lo, hi), m.nbest_of(texts[lo:hi])):
-                    for r, (s, raw) in enumerate(ways, 1):
+                    told: dict[bytes, bytes] = {}
+                    for r, (s, spans) in enumerate(ways, 1):
+                        raw = b"".join(spans)
                         row.append(i)
                         rank.append(r)
                         score.append(s)
                         size.append(len(raw) // 4)
                         crc.append(zlib.crc32(raw))
-                        text.append(zlib.crc32(m.decode(raw).encode("utf-8", "surrogatepass")))
+                        text.append(zlib.crc32(m.decode_spans(spans, told).encode()))
                         if with_ids:
                             ids.append(np.frombuffer(raw, np.int32))
                 out = {"doc_id": b.column(0).take(pa.array(row, pa.int32())), "rank": pa.array(rank, pa.int32()), "score": pa.array(score, pa.float64()), "n_tokens": pa.array(size, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(text, pa.int64())}
