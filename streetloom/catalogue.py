@@ -1,6 +1,8 @@
 """All registered queries of the street-network engine and their SQL."""
 
-from .plans.network import QUERIES
-from .plans.oracle import ORACLE_SQL
+from .plans import layers, network, oracle
+
+QUERIES = network.QUERIES | layers.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | layers.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
