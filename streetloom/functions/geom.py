@@ -42,3 +42,28 @@ def turn_direction(before: Column, after: Column) -> Column:
     """Change of heading (degrees): under 35 straight, over 150 u_turn, else left (positive) or right."""
     d = F.pmod(after - before + 180.0, F.lit(360.0)) - 180.0
     return F.when(F.abs(d) < 35, "straight").when(F.abs(d) > 150, "u_turn").when(d > 0, "left").otherwise("right")
+
+
+def cells_along(x1: Column, y1: Column, x2: Column, y2: Column, size: float, pad: float) -> Column:
+    """Structs (cx, cy) of the grid cells at most pad from the segment: per column of cells the rows it passes, not its whole box."""
+    left, right = F.least(x1, x2), F.greatest(x1, x2)
+    slope = F.when(x1 == x2, F.lit(0.0)).otherwise((y2 - y1) / F.nullif(x2 - x1, F.lit(0.0)))
+
+    def column(cx: Column) -> Column:
+        a, b = F.greatest(left, cx * F.lit(float(size)) - pad), F.least(right, (cx + 1) * F.lit(float(size)) + pad)
+        a, b = F.least(a, right), F.greatest(b, left)
+        ya, yb = y1 + (a - x1) * slope, y1 + (b - x1) * slope
+        low = F.when(x1 == x2, F.least(y1, y2)).otherwise(F.least(ya, yb)) - pad
+        high = F.when(x1 == x2, F.greatest(y1, y2)).otherwise(F.greatest(ya, yb)) + pad
+        return F.transform(F.sequence(cell(low, size), cell(high, size)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(cell(left - pad, size), cell(right + pad, size)), column))
+
+
+def meeting(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, Column, Column, Column]:
+    """x, y of where the lines through two segments meet, and its share of each segment; null if parallel."""
+    ux, uy, vx, vy = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1]
+    turn = F.nullif(ux * vy - uy * vx, F.lit(0.0))
+    t = ((b[0] - a[0]) * vy - (b[1] - a[1]) * vx) / turn
+    s = ((b[0] - a[0]) * uy - (b[1] - a[1]) * ux) / turn
+    return a[0] + t * ux, a[1] + t * uy, t, s
