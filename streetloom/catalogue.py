@@ -1,8 +1,8 @@
 """All registered queries of the street-network engine and their SQL."""
 
-from .plans import layers, network, oracle
+from .plans import joined, layers, network, oracle
 
-QUERIES = network.QUERIES | layers.QUERIES
-ORACLE_SQL = oracle.ORACLE_SQL | layers.ORACLE_SQL
+QUERIES = network.QUERIES | layers.QUERIES | joined.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | layers.ORACLE_SQL | joined.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -76,7 +76,7 @@ def crossings(segs: DataFrame, size: float = 100.0) -> DataFrame:
     x, y, t, s = geom.meeting(here, there)
     d = d.where(geom.crosses(here, there)).withColumns({"x": x, "y": y, "at": F.col("pos") + t, "b_at": F.col("b_pos") + s})
     d = d.where((geom.cell(F.col("x"), size) == F.col("cx")) & (geom.cell(F.col("y"), size) == F.col("cy")))  # once a pair: in the crossing's own cell
-    return d.select("line_id", "at", F.col("b_line_id").alias("other"), F.col("b_at").alias("other_at"), "layer", "x", "y")
+    return d.select("line_id", "at", F.col("b_line_id").alias("other"), F.col("b_at").alias("other_at"), "pos", F.col("b_pos").alias("other_pos"), "layer", "x", "y")
 
 
 def snap_to_network(vertices: DataFrame, nodes: DataFrame, segs: DataFrame, reach: float, size: float = 100.0) -> DataFrame:

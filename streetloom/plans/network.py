@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom, tags
+from ..operators.build import crossings
 from ..operators.graph import pieces
 from ..sources import derived as src
 
@@ -150,17 +151,11 @@ def win_03_lengths(spark, sf_dir):
     return d.select("line_id", "pos", F.round(geom.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 4).alias("length_m"))
 
 
-def jn_09_crossings(spark, sf_dir, size: float = 100.0):
-    """Crossings of lines of one layer, by grid cells that the segments' boxes touch; a pair counts in its first common cell."""
-    s = win_03_segments(spark, sf_dir).withColumn("layer", F.col("line_id") % 4)
-    low, high = (lambda a, b: geom.cell(F.least(a, b), size)), (lambda a, b: geom.cell(F.greatest(a, b), size))
-    s = s.withColumns({"cx0": low(F.col("x1"), F.col("x2")), "cy0": low(F.col("y1"), F.col("y2"))})
-    s = s.withColumn("cx", F.explode(F.sequence("cx0", high(F.col("x1"), F.col("x2"))))).withColumn("cy", F.explode(F.sequence("cy0", high(F.col("y1"), F.col("y2")))))
-    b = s.toDF(*(f"b_{c}" for c in s.columns))
-    pair = (s["layer"] == b["b_layer"]) & (s["cx"] == b["b_cx"]) & (s["cy"] == b["b_cy"]) & (s["line_id"] < b["b_line_id"])
-    first = (s["cx"] == F.greatest(s["cx0"], b["b_cx0"])) & (s["cy"] == F.greatest(s["cy0"], b["b_cy0"]))
-    cut = geom.crosses(tuple(s[c] for c in ("x1", "y1", "x2", "y2")), tuple(b[f"b_{c}"] for c in ("x1", "y1", "x2", "y2")))
-    return s.join(b, pair & first & cut).select(F.col("line_id").alias("line_a"), F.col("pos").alias("pos_a"), F.col("b_line_id").alias("line_b"), F.col("b_pos").alias("pos_b"))
+def jn_09_crossings(spark, sf_dir):
+    """Crossings of lines of one layer, by the grid cells that segments pass through."""
+    s = win_03_segments(spark, sf_dir).withColumns({"layer": (F.col("line_id") % 4).cast("int"), "separated": F.lit(False)})
+    return crossings(s).where("line_id < other").select(F.col("line_id").alias("line_a"), F.col("pos").alias("pos_a"), F.col("other").alias("line_b"), F.col("other_pos").alias("pos_b"))
+
 
 
 def _nearest(spark, sf_dir, reach: float = 40.0):

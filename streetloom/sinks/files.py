@@ -67,10 +67,15 @@ def write_osm_xml(nodes: DataFrame, ways: DataFrame, path: str, relations: DataF
     fs.delete(folder, True)
 
 
+def chains(edges: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """key, run, refs: the nodes of each stretch of edges (u, v) of one key that follow each other in the given order."""
+    w = Window.partitionBy(key).orderBy(*order)
+    d = edges.withColumn("new", F.when(F.lag("v").over(w).eqNullSafe(F.col("u")), 0).otherwise(1)).withColumn("run", F.sum("new").over(w) - 1)
+    d = d.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct(*order, "u", "v"))).alias("s"))
+    return d.select(key, "run", F.concat(F.array(F.col("s")[0]["u"]), F.col("s.v")).alias("refs"))
+
+
 def line_ways(edges: DataFrame, tags: DataFrame) -> DataFrame:
-    """way_id, refs, tags out of edges (line_id, part, u, v): a way for each stretch of a line's edges that follow each other."""
-    w = Window.partitionBy("line_id").orderBy("part")
-    d = edges.withColumn("new", F.when(F.lag("v").over(w).eqNullSafe(F.col("u")), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    d = d.groupBy("line_id", "run").agg(F.array_sort(F.collect_list(F.struct("part", "u", "v"))).alias("s"))
-    d = d.select("line_id", F.struct("line_id", "run").alias("first"), F.concat(F.array(F.col("s")[0]["u"]), F.col("s.v")).alias("refs")).join(tags, "line_id", "left")
+    """way_id, refs, tags out of edges (line_id, part, u, v): a way for each stretch of a line."""
+    d = chains(edges, "line_id", ["part"]).join(tags, "line_id", "left").withColumn("first", F.struct("line_id", "run"))
     return numbered(d, "first", 1, "way_id").select("way_id", "refs", "tags")
