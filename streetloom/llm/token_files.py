@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import FILE, ROW, new_path, text_groups, with_row_key
 from .tokens import END, GROUP_CHARS, encoder
 
+#: Pieces that a writing worker keeps before the oldest go; a writer holds little else.
+WRITER_PIECES = 700_000
+
 # Fixed values of the public seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: A frame is closed at this many bytes of ids; one longer document is a frame by itself.
@@ -113,7 +116,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame
     def write(batches):
         from pyspark import TaskContext
 
-        enc, part, file, n, total, writer = encoder(tokenizer), TaskContext.get().partitionId(), "", 0, 0, None
+        enc, part, file, n, total, writer = encoder(tokenizer, WRITER_PIECES), TaskContext.get().partitionId(), "", 0, 0, None
         store, at = pafs.FileSystem.from_uri(folder)
         for b in batches:
             texts, ids = [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist()

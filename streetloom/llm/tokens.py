@@ -29,6 +29,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.limit = CACHE_PIECES
         self.pieces: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
@@ -36,7 +37,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > CACHE_PIECES:
+        if len(self.pieces) > self.limit:
             self.older, self.pieces = self.pieces, {}
         pieces, older = self.pieces, self.older
         cut = [t.split(" ") for t in texts]
@@ -57,8 +58,9 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder of the vocabulary at path."""
+def encoder(path: str, limit: int = CACHE_PIECES) -> Encoder:
+    """This worker's encoder of the vocabulary at path, its cache bounded by limit from now on."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].limit = limit
     return _encoders[path]
