@@ -29,8 +29,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, at most 4 of 64 bits apart."""
-    return keep_one_of_group(docs, shingle=5, radius=4)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more, or at most 4 of 64 bits apart."""
+    return keep_one_of_group(docs, shingle=5, radius=4, least=0.8)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

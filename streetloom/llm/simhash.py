@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import FILE, ROW, local_components, materialize, stored, with_row_key
 from .components import components
+from .shingles import _lists, common_shingles, hash_set, hashes, prefix, ranges, shingle_links, split
 
 BITS = 64
 #: About so many distinct fingerprints share a variant prefix; more of them mean longer prefixes.
@@ -23,15 +24,14 @@ TASK_VARIANTS = 6_000_000
 
 def fingerprint(text: str, shingle: int = 4) -> int:
     """SimHash of the word shingles, repeats included, unsigned."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, and only ASCII white space
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(BITS, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for lo in range(0, n, 1 << 15):
-        h = np.array([digest(b" ".join(words[i: i + shingle]), 42) for i in range(lo, min(n, lo + (1 << 15)))], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return _of_hashes(hashes(split(text), shingle))
+
+
+def _of_hashes(blocks) -> int:
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in blocks:
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -47,6 +47,25 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FILE} long, {ROW} long, fp long")
 
 
+def sketches(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """fingerprints, and of each document's set of shingles the digest sid, the size n, counts by range and the prefix that `least` asks for."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+
+    def work(batches):
+        for b in batches:
+            for lo in range(0, len(b), 200):
+                c = b.slice(lo, 200)
+                found = [list(hashes(split(t or ""), shingle)) for t in c.column(1).to_pylist()]
+                sets = [hash_set(f) for f in found]
+                fp = np.fromiter((_of_hashes(f) for f in found), np.uint64, len(c))
+                sid = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(c))
+                yield pa.record_batch({"doc_id": c.column(0), "f": c.column(2), "r": c.column(3), "fp": fp.view(np.int64), "sid": sid.view(np.int64),
+                                       "n": np.array([len(s) for s in sets], np.int32), "counts": pa.array([ranges(s) for s in sets], pa.binary()), "prefix": _lists([prefix(s, common.value, least) for s in sets])})
+
+    rows = with_row_key(docs, "doc_id", "text")
+    return rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FILE} long, {ROW} long, fp long, sid long, n int, counts binary, prefix array<long>")
+
+
 def _masks(bits: int, weight: int) -> np.ndarray:
     """All masks over the low `bits` with at most `weight` bits set, 0 first."""
     return np.array([sum(1 << i for i in c) for w in range(weight + 1) for c in combinations(range(bits), w)], np.uint64)
@@ -102,11 +121,15 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return sent.groupBy("key", "part").applyInArrow(meet, "a long, b long")
 
 
-def _joined(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+def _joined(docs: DataFrame, shingle: int, radius: int, least: float | None = None) -> DataFrame:
     """Of every document: doc_id, row key, fp and component, the smallest doc_id in reach (null if all are null)."""
-    rows = materialize(fingerprints(docs, shingle), "fingerprints")
+    rows = materialize(fingerprints(docs, shingle) if least is None else sketches(docs, shingle, least), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    found = components(ball_links(fps.select("fp"), radius))
+    links = ball_links(fps.select("fp"), radius)
+    if least is not None:
+        links = shingle_links(docs, rows, links, shingle, least)
+        rows = rows.drop("sid", "n", "counts", "prefix")
+    found = components(links)
     linked = fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
     least = linked.groupBy("c").agg(F.min("low").alias("component_id"))
     named = materialize(linked.join(least, "c").select(F.col("fp").alias("k"), "component_id"), "named")
@@ -124,10 +147,14 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_group(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """docs, with its own columns: of each group the row with the smallest doc_id stays (null last, then the first row)."""
+def keep_one_of_group(docs: DataFrame, shingle: int = 5, radius: int = 4, least: float | None = None) -> DataFrame:
+    """docs, with its own columns: of each group the row with the smallest doc_id stays (null last, then the first row).
+
+    With least, documents also link whose sets of shingles have at least that Jaccard similarity, however far their
+    fingerprints are apart.
+    """
     docs = stored(docs)
-    rows = materialize(_joined(docs, shingle, radius), "grouped")
+    rows = materialize(_joined(docs, shingle, radius, least), "grouped")
     low = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", FILE, ROW)).alias("low")
     kept = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(low).select(F.col(f"low.{FILE}").alias("__lw_f"), F.col(f"low.{ROW}").alias("__lw_r"))
     d = with_row_key(docs)

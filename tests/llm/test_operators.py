@@ -238,6 +238,42 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_pipeline_drops_all_similar(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    texts = ["", "one two", "One  two", None, "a b c d e f", "a b c d e f g"]
+    for size in (12, 40, 120, 400):
+        for _ in range(12):
+            base = [f"w{k}" for k in rng.integers(0, 5000, size)]
+            texts.append(" ".join(base))
+            for changes in (1, size // 60 + 1, size // 40 + 1):
+                other = list(base)
+                for at in rng.choice(size, changes, replace=False):
+                    other[at] = "new"
+                texts.append(" ".join([*other, "tail"] if changes % 2 else other))
+    same = [f"x{k}" for k in range(100)]  # a large group, all sharing text with one another
+    texts += [" ".join([*same[:at], "odd", *same[at + 1:]]) for at in range(0, 100, 3)]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    fps = [simhash.fingerprint(t or "", 5) for t in texts]
+    comp, far = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4 and sets[i]
+            far += bool(alike) and (fps[i] ^ fps[j]).bit_count() > 4
+            if alike or (fps[i] ^ fps[j]).bit_count() <= 4:
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    assert far > 20  # pairs that the fingerprints alone don't show
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.simhash_neardup(spark, d, "")
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(comp))
+    assert corpus_pipeline.simhash_neardup(spark, d.limit(0), "").count() == 0
+
+
 def test_fingerprint_by_hand():
     import xxhash
 
