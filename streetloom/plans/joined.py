@@ -130,6 +130,23 @@ def grf_03_stranded(spark, sf_dir):
     return d.join(d.where("okey % 997 = 0").select("piece").distinct(), "piece", "left_anti")
 
 
+def grf_02_pieces_whole(spark, sf_dir):
+    """Connected pieces of the whole network; grf_02_pieces has every eleventh way's bridges only."""
+    return pieces(src.streets(spark, sf_dir).select("u", "v")).select(F.col("node").alias("node_id"), "piece")
+
+
+def agg_06_largest_whole(spark, sf_dir):
+    return grf_02_pieces_whole(spark, sf_dir).groupBy("piece").agg(F.count("*").alias("nodes"))
+
+
+def grf_03_stranded_whole(spark, sf_dir):
+    """Of all streets those of pieces that hold none of the existing ones (order keys divisible by 997)."""
+    p = grf_02_pieces_whole(spark, sf_dir)
+    d = src.streets(spark, sf_dir).select("okey", "u", "v")
+    d = d.join(p, d["u"] == p["node_id"]).select("okey", "u", "v", "piece")
+    return d.join(d.where("okey % 997 = 0").select("piece").distinct(), "piece", "left_anti").select("okey", "u", "v", "piece")
+
+
 def cov_05_regions(spark, sf_dir):
     """Groups of neighbouring empty cells of 10 m in the square of 300 m around the origin."""
     cell = F.col("cx") * 30 + F.col("cy")
@@ -141,8 +158,10 @@ def cov_05_regions(spark, sf_dir):
     return pieces(edges).groupBy(F.col("piece").alias("region")).agg(F.count("*").alias("cells"))
 
 
-QUERIES = {f.__name__: f for f in (scl_17_days, scl_18_time_range, scl_30_compass, flt_14_at_grade, flt_23_allows_mode, flt_52_one_per_street, agg_11_by_road, jn_14_nearest_id, jn_33_speed_rows, win_02_repeats, win_08_ids, top_05_snap_edges, top_12_junctions, top_17_split, top_18_nodes, grf_03_stranded, cov_05_regions)}
+QUERIES = {f.__name__: f for f in (scl_17_days, scl_18_time_range, scl_30_compass, flt_14_at_grade, flt_23_allows_mode, flt_52_one_per_street, agg_11_by_road, jn_14_nearest_id, jn_33_speed_rows, win_02_repeats, win_08_ids, top_05_snap_edges, top_12_junctions, top_17_split, top_18_nodes, grf_03_stranded, grf_02_pieces_whole, agg_06_largest_whole, grf_03_stranded_whole, cov_05_regions)}
 
+_WHOLE = f"""RECURSIVE {_STREETS}, s AS (SELECT DISTINCT u, v FROM (SELECT u, v FROM streets UNION ALL SELECT v, u FROM streets)),
+ reach(node_id, r) AS (SELECT u, u FROM s UNION SELECT s.v, reach.r FROM reach JOIN s ON s.u = reach.node_id), found AS (SELECT node_id, min(r) AS piece FROM reach GROUP BY node_id)"""
 _SEP = "(CASE WHEN highway = 'motorway' OR bridge IS NOT NULL THEN 1 ELSE 0 END)"
 _CUTS = f"""{_SEGMENTS}, hits AS (SELECT a.line_id AS la, b.line_id AS lb, a.*, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM seg a JOIN seg b ON a.line_id % 4 = b.line_id % 4 AND a.line_id < b.line_id AND a.line_id % 11 <> 0 AND b.line_id % 11 <> 0
  AND {_side('a', 'b', 1)} * {_side('a', 'b', 2)} < 0 AND {_side('b', 'a', 1)} * {_side('b', 'a', 2)} < 0)"""
@@ -171,6 +190,9 @@ SELECT point_id, round(min(away), 6) AS away FROM d GROUP BY 1 HAVING round(min(
 SELECT line_id, own.n + coalesce(c.n, 0) AS edges, round(len, 3) AS length_m FROM own LEFT JOIN c ON l = line_id""",
     "top_18_nodes": f"WITH {_CUTS}, k AS (SELECT (SELECT count(*) FROM hits WHERE la % 4 = 0) + (SELECT count(DISTINCT (x, y)) FROM lines WHERE line_id % 4 = 0) AS n) SELECT n AS nodes, 0::BIGINT AS first, n - 1 AS last FROM k",
     "grf_03_stranded": f"WITH {_PIECES}, d AS (SELECT okey, u, v, piece FROM streets JOIN found ON node_id = u WHERE line = 7 AND way_id % 11 = 0) SELECT okey, u, v, piece FROM d WHERE piece NOT IN (SELECT piece FROM d WHERE okey % 997 = 0)",
+    "grf_02_pieces_whole": f"WITH {_WHOLE} SELECT node_id, piece FROM found",
+    "agg_06_largest_whole": f"WITH {_WHOLE} SELECT piece, count(*) AS nodes FROM found GROUP BY 1",
+    "grf_03_stranded_whole": f"WITH {_WHOLE}, d AS (SELECT okey, u, v, piece FROM streets JOIN found ON node_id = u) SELECT okey, u, v, piece FROM d WHERE piece NOT IN (SELECT piece FROM d WHERE okey % 997 = 0)",
     "cov_05_regions": f"""WITH RECURSIVE {_LINES}, gap AS (SELECT a.k - 15 AS cx, b.k - 15 AS cy FROM range(30) a(k), range(30) b(k) WHERE NOT EXISTS (SELECT 1 FROM lines WHERE floor(x / 10) = a.k - 15 AND floor(y / 10) = b.k - 15)),
 reach(cx, cy, r) AS (SELECT cx, cy, cx * 30 + cy FROM gap UNION SELECT g.cx, g.cy, r FROM reach JOIN gap g ON abs(g.cx - reach.cx) + abs(g.cy - reach.cy) = 1), m AS (SELECT cx, cy, min(r) AS region FROM reach GROUP BY 1, 2) SELECT region, count(*) AS cells FROM m GROUP BY 1""",
 }

@@ -61,3 +61,23 @@ def test_speeds_and_lists(spark):
     assert [one.select(tags.duration_hours(F.lit(v))).first()[0] for v in ("01:30", "00:00:36", "x")] == [1.5, 0.01, None]
     turns = [one.select(geom.turn_direction(F.lit(a), F.lit(b))).first()[0] for a, b in ((0.0, 10.0), (0.0, 90.0), (0.0, -90.0), (10.0, -175.0))]
     assert turns == ["straight", "left", "right", "u_turn"]
+
+
+def test_pieces_of_all_streets(spark):
+    from streetloom.sources import derived
+
+    root = {}
+
+    def top(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    streets = derived.streets(spark, SF).select("okey", "u", "v").collect()
+    for s in streets:
+        a, b = sorted((top(s.u), top(s.v)))
+        root[b] = a
+    got = {r.node_id: r.piece for r in QUERIES["grf_02_pieces_whole"](spark, SF).collect()}
+    assert got == {n: top(n) for n in root}
+    held = {top(s.u) for s in streets if s.okey % 997 == 0}
+    assert QUERIES["grf_03_stranded_whole"](spark, SF).count() == sum(top(s.u) not in held for s in streets)
