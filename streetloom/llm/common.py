@@ -107,7 +107,8 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class TextBuffer:
     """Words of many texts as arrays over one lower-cased UTF-8 buffer.
 
-    A word is a run of ASCII letters and digits and of bytes over 0x7F. h(start, end) hashes any stretches of the
+    A word is a run of ASCII letters and digits and of bytes over 0x7F; a kana or ideograph (UTF-8 lead bytes 0xE3 to
+    0xE9), whose scripts don't put spaces between words, is a word by itself. h(start, end) hashes any stretches of the
     buffer in one step, from running sums of byte x B^place (mod 2^64).
     """
 
@@ -126,8 +127,14 @@ class TextBuffer:
         self.sums = np.zeros(len(x) + 1, np.uint64)
         np.cumsum((x.astype(np.uint64) + np.uint64(1)) * self._pow[: len(x)], out=self.sums[1:])
         inside = self._TABLE[x]
-        turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        self.start, self.end = turn[0::2], turn[1::2]
+        alone = (x >= 0xE3) & (x <= 0xE9)
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | alone[1:]
+        begins[3:] |= inside[3:] & alone[:-3]
+        self.start = np.flatnonzero(begins)
+        leaves = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        self.end = leaves[np.searchsorted(leaves, self.start, "right")] if len(self.start) else self.start
+        self.end[:-1] = np.minimum(self.end[:-1], self.start[1:])
         ends = np.cumsum([0, *(len(p) + 1 for p in parts)])
         #: words of text i: first[i] to first[i + 1]
         self.first = np.searchsorted(self.start, ends)

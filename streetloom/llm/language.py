@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TextBuffer, held_out, text_groups
 
 WORD_BITS, GRAM_BITS = 18, 16
-#: About so many documents of each language are learned from (those under a hash threshold), of the MOST_LANGS languages with most rows.
-SAMPLE, MOST_LANGS = 500, 64
-#: Windows of so many words, so many of a document at most, evenly over its whole length.
-WINDOW, WINDOWS = 12, 24
-#: A training sequence is so many windows; every second one mixes languages.
+#: About so many documents of each language are learned from (those under a hash threshold), ...
+SAMPLE = 500
+#: ... and of these, in hash order, whole texts until all languages together have so many bytes; a language's first counts in any case.
+SAMPLE_BYTES = 4_000_000
+#: Learned texts are cut into windows of so many words, the last of a text may be shorter; none is left out.
+WINDOW = 12
+#: A training sequence is so many windows. In each pass every window is in one sequence of its language and one of any.
 MIX = 4
+#: Weights in all, languages times hash buckets, stay under 2^WEIGHT_BITS: beyond 32 languages the buckets get fewer.
+WEIGHT_BITS = 23
 LETTER = re.compile(r"[^\W\d_]")
 _FLOOR = 1e-9
 
@@ -26,21 +31,43 @@ _FLOOR = 1e-9
 class Words:
     """Features of all words of some texts: lexicon (the word), affixes of 2 and 3 bytes, byte trigrams."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], less: int = 0):
+        """less: bits by which the hash spaces are smaller."""
         buf = TextBuffer(texts)
         a, e = buf.start, buf.end
         spots = ((a, e, 1), (a, np.minimum(a + 2, e), 2), (a, np.minimum(a + 3, e), 3), (np.maximum(e - 2, a), e, 4), (np.maximum(e - 3, a), e, 5))
-        self.fixed = [(buf.h(s, t, k) >> np.uint64(64 - WORD_BITS)).astype(np.int64) for s, t, k in spots]
+        self.fixed = [(buf.h(s, t, k) >> np.uint64(64 - WORD_BITS + less)).astype(np.int32) for s, t, k in spots]
         x = np.where(TextBuffer._TABLE[buf.bytes], buf.bytes, 32).astype(np.uint32)
-        gram = ((x[:-2] << 16) | (x[1:-1] << 8) | x[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - GRAM_BITS)
+        gram = (((x[:-2] << 16) | (x[1:-1] << 8) | x[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - GRAM_BITS + less)).astype(np.int32)
         self.length = e - a
-        at = np.repeat(a - np.cumsum(self.length) + self.length, self.length) + np.arange(self.length.sum())
-        self.gram = gram[at - 1]  # the trigram around each byte of a word
+        self.gram = gram[_ragged(a, self.length) - 1]  # the trigram around each byte of a word
         self.first = buf.first
 
     def __len__(self) -> int:
         return len(self.length)
 
+    @classmethod
+    def joined(cls, parts: list[Words]) -> Words:
+        out = object.__new__(cls)
+        out.fixed = [np.concatenate(f) for f in zip(*(p.fixed for p in parts))]
+        out.length, out.gram = np.concatenate([p.length for p in parts]), np.concatenate([p.gram for p in parts])
+        ends = np.cumsum([0, *(len(p) for p in parts)])
+        out.first = np.concatenate([[0], *(p.first[1:] + n for p, n in zip(parts, ends))])
+        return out
+
+    def take(self, at: np.ndarray, begin: np.ndarray) -> Words:
+        """The words at these places; begin: where each word's trigrams begin."""
+        out = object.__new__(Words)
+        out.fixed = [f[at] for f in self.fixed]
+        out.length = self.length[at]
+        out.gram = self.gram[_ragged(begin[at], out.length)]
+        return out
+
+
+def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (length of them) of each run, one run after the other."""
+    return np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
+
 
 @dataclass
 class LanguageField:
@@ -59,8 +86,8 @@ class LanguageField:
         return e.astype(np.float64)
 
     @staticmethod
-    def _passes(e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward and backward messages of equally long sequences; e (sequences, steps, languages), t not in logs."""
+    def _passes(e: np.ndarray, t: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward and backward messages; e (sequences, steps, languages), t not in logs, live: the steps a sequence has."""
         n, steps, k = e.shape
         f, b = np.empty_like(e), np.ones_like(e)
         at = np.full((n, k), 1 / k)
@@ -70,48 +97,59 @@ class LanguageField:
             f[:, i] = at
         at = np.ones((n, k))
         for i in range(steps - 1, 0, -1):
-            at = (at * e[:, i]) @ t.T
+            at = np.where(live[:, i, None], (at * e[:, i]) @ t.T, 1.0)
             at /= at.sum(1, keepdims=True)
             b[:, i - 1] = at
         return f, b
 
     @classmethod
-    def fit(cls, langs: list[str], words: Words, y: np.ndarray, steps: int, epochs: int = 4, rate: float = 0.3, batch: int = 256) -> LanguageField:
-        """words: sequences of `steps` words one after the other; y: language of each word. AdaGrad on the log-likelihood."""
-        k, n = len(langs), len(y) // steps
-        m = cls(langs, np.zeros((1 << WORD_BITS, k), np.float32), np.zeros((1 << GRAM_BITS, k), np.float32), np.zeros((k, k), np.float32))
+    def fit(cls, langs: list[str], words: Words, sequences: list[np.ndarray], y: np.ndarray, less: int = 0, epochs: int = 2, rate: float = 0.3, batch: int = 128) -> LanguageField:
+        """sequences: places of their words, each with one at least; y: language of each word. AdaGrad on the log-likelihood."""
+        k = len(langs)
+        m = cls(langs, np.zeros((1 << WORD_BITS - less, k), np.float32), np.zeros((1 << GRAM_BITS - less, k), np.float32), np.zeros((k, k), np.float32))
         sums = [np.full_like(x, 1e-2) for x in (m.word, m.gram, m.move)]
-        begin = np.append(0, np.cumsum(words.length))
-        for epoch in range(epochs):
-            for lo in range(0, n, batch):
-                hi = min(n, lo + batch)
-                part = object.__new__(Words)
-                part.fixed = [i[lo * steps: hi * steps] for i in words.fixed]
-                part.length = words.length[lo * steps: hi * steps]
-                part.gram = words.gram[begin[lo * steps]: begin[hi * steps]]
-                e = m.emissions(part).reshape(hi - lo, steps, k)
-                e = np.exp(e - e.max(-1, keepdims=True)).clip(_FLOOR)
+        begin = np.cumsum(words.length) - words.length
+        eye = np.eye(k)
+        for _ in range(epochs):
+            for lo in range(0, len(sequences), batch):
+                some = sequences[lo: lo + batch]
+                size = np.array([len(q) for q in some])
+                n, steps = len(some), int(size.max())
+                live = np.arange(steps) < size[:, None]
+                at = np.concatenate(some)
+                part = words.take(at, begin)
+                e = np.ones((n, steps, k))
+                x = m.emissions(part)
+                e[live] = np.exp(x - x.max(-1, keepdims=True)).clip(_FLOOR)
                 t = np.exp(m.move - m.move.max()).astype(np.float64)
-                f, b = cls._passes(e, t)
+                f, b = cls._passes(e, t, live)
                 post = f * b
                 post /= post.sum(-1, keepdims=True)
-                gold = np.eye(k)[y[lo * steps: hi * steps]]
-                d = (gold - post.reshape(-1, k)) / (hi - lo)
-                pair = f[:, :-1, :, None] * t * (e[:, 1:] * b[:, 1:])[:, :, None, :]
-                pair /= pair.sum((-1, -2), keepdims=True)
-                g2 = gold.reshape(-1, steps, k)
-                moves = (np.einsum("nsa,nsb->ab", g2[:, :-1], g2[:, 1:]) - pair.sum((0, 1))) / (hi - lo)
-                grads = [np.zeros_like(m.word), np.zeros_like(m.gram), moves.astype(np.float32) - 1e-3 * m.move]
-                wide = np.repeat(d, part.length, axis=0)
-                for c in range(k):
-                    for i in part.fixed:
-                        grads[0][:, c] += np.bincount(i, d[:, c], 1 << WORD_BITS)
-                    grads[1][:, c] = np.bincount(part.gram, wide[:, c], 1 << GRAM_BITS)
-                for x, g, s in zip((m.word, m.gram, m.move), grads, sums):
-                    s += g * g
-                    x += rate * g / np.sqrt(s)
+                gold = eye[y[at]]
+                d = (gold - post[live]) / n
+                true = np.zeros((n, steps, k))
+                true[live] = gold
+                both = live[:, 1:]
+                left, right = f[:, :-1][both], (e * b)[:, 1:][both]
+                left = left / ((left @ t) * right).sum(-1, keepdims=True)
+                moves = (true[:, :-1][both].T @ true[:, 1:][both] - t * (left.T @ right)) / n
+                moves += t / t.sum(0) * (true[:, 0] - post[:, 0]).mean(0)  # a chain starts from any language alike
+                m.move += cls._step(moves.astype(np.float32) - 1e-3 * m.move, sums[2], rate)
+                for table, past, index, grad in ((m.word, sums[0], np.concatenate(part.fixed), np.tile(d, (len(part.fixed), 1))), (m.gram, sums[1], part.gram, np.repeat(d, part.length, axis=0))):
+                    turn = np.argsort(index, kind="stable")
+                    spot = np.flatnonzero(np.diff(index[turn], prepend=-1))
+                    each = index[turn[spot]]
+                    g = np.add.reduceat(grad.astype(np.float32)[turn], spot, axis=0)
+                    held = past[each]
+                    table[each] += cls._step(g, held, rate)
+                    past[each] = held
         return m
 
+    @staticmethod
+    def _step(g: np.ndarray, past: np.ndarray, rate: float) -> np.ndarray:
+        past += g * g
+        return rate * g / np.sqrt(past)
+
     def posteriors(self, w: Words, block: int = 32) -> np.ndarray:
         """P(language) of every word, by forward-backward over each text's whole chain.
 
@@ -121,6 +159,7 @@ class LanguageField:
         k, n = len(self.langs), len(w)
         if not n:
             return np.zeros((0, k))
+        block = max(block, k)  # so the blocks' matrices stay as large as the words' scores
         e = self.emissions(w)
         e = np.exp(e - e.max(1, keepdims=True)).clip(_FLOOR)
         t = np.exp(self.move - self.move.max()).astype(np.float64)
@@ -181,7 +220,7 @@ class LanguageField:
         if not self.langs:
             return lang, score
         for lo, hi in text_groups(plain):
-            w = Words(plain[lo:hi])
+            w = Words(plain[lo:hi], WORD_BITS - int(math.log2(len(self.word))))
             post = self.posteriors(w)
             some = np.flatnonzero(np.diff(w.first))
             if not len(some):
@@ -194,67 +233,49 @@ class LanguageField:
         return lang, score
 
 
-_WORD = re.compile(r"\w+")
-
+def fit_language(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: int = 0) -> LanguageField:
+    """Learns from text and lang of rows that aren't held out and have both; lang is the label of each word of a row.
 
-def _windows(text: str) -> list[str]:
-    """Up to WINDOWS windows of WINDOW words, evenly over the text."""
-    words = _WORD.findall(text)
-    n = len(words) // WINDOW
-    at = np.unique(np.linspace(0, n - 1, min(n, WINDOWS)).astype(int)) if n else []
-    return [" ".join(words[i * WINDOW: (i + 1) * WINDOW]) for i in at]
-
-
-def fit_language(docs: DataFrame, sample: int = SAMPLE, seed: int = 0) -> LanguageField:
-    """Learns from text and lang of rows that aren't held out and have both; lang is the label of each word of a row."""
-    known = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"])).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    if not counts:
+    Every lang value whose sampled rows hold a word is learned, short texts and unspaced ones too, each sampled text whole.
+    """
+    known = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"])).select(F.xxhash64(docs["doc_id"], F.lit(seed)).alias("h"), docs["lang"].alias("lang"), docs["text"].alias("text"))
+    counts = known.groupBy("lang").count().collect()  # a row a language
+    limits = docs.sparkSession.createDataFrame([(r[0], int(min(1, sample / r[1]) * (1 << 30))) for r in counts], "l string, most long")
+    picked = known.join(limits, F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1 << 30)) < F.col("most"))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1))
+    share = sample_bytes / max(1, len(counts))
+    rows = picked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < share).select("h", "lang", "text").collect()
+    return learn([r[2] for r in sorted(rows)], [r[1] for r in sorted(rows)], seed)
+
+
+def learn(texts: list[str], labels: list[str], seed: int = 0) -> LanguageField:
+    """A field from whole texts and the language of each; languages without a word are left out."""
+    less = max(0, math.ceil(math.log2(max(1, len(set(labels)))) + WORD_BITS - WEIGHT_BITS))
+    parts = [Words(texts[lo:hi], less) for lo, hi in text_groups(texts)]
+    words = Words.joined(parts) if parts else None
+    size = np.diff(words.first) if parts else np.zeros(0, int)
+    langs = sorted({c for c, n in zip(labels, size) if n})
+    if not langs:
         return LanguageField([], np.zeros((1 << WORD_BITS, 0), np.float32), np.zeros((1 << GRAM_BITS, 0), np.float32), np.zeros((0, 0), np.float32))
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r[0], int(min(1, sample / r[1]) * (1 << 30)))))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(-1)))
-
-    def cut(batches):
-        for b in batches:
-            yield pa.record_batch({"doc_id": b.column(0).cast(pa.int64()), "lang": b.column(1), "windows": pa.array([_windows(t) for t in b.column(2).to_pylist()], pa.list_(pa.string()))})
-
-    rows = sorted((r for r in picked.mapInArrow(cut, "doc_id long, lang string, windows array<string>").collect()), key=lambda r: (r[0], r[1], r[2]))
-    langs = sorted(r[0] for r in counts)
-    pools = [[w for r in rows if r[1] == c for w in r[2]] for c in langs]
-    pools = {i: p for i, p in enumerate(pools) if p}
+    code = {c: i for i, c in enumerate(langs)}
+    y = np.repeat([code.get(c, 0) for c in labels], size)
+    windows = [np.arange(a, min(a + WINDOW, e)) for s, e in zip(words.first[:-1], words.first[1:]) for a in range(s, e, WINDOW)]
+    of = np.array([y[w[0]] for w in windows])
     rng = np.random.default_rng(seed)
-    texts, y = [], []
-    keys = list(pools)
-    # each window starts a sequence once, and meets windows of its own or, every second time, of any language
-    for i, pool in pools.items():
-        for j, w in enumerate(pool[:: 2]):
-            own = [i] * (MIX - 1) if j % 2 else rng.choice(keys, MIX - 1).tolist()
-            parts = [w, *(pools[c][int(rng.integers(len(pools[c])))] for c in own)]
-            texts.append(" ".join(parts))
-            y.append([c for c in [i, *own] for _ in range(WINDOW)])
-    if not texts:
-        return LanguageField(langs, np.zeros((1 << WORD_BITS, len(langs)), np.float32), np.zeros((1 << GRAM_BITS, len(langs)), np.float32), np.zeros((len(langs),) * 2, np.float32))
-    mixed = rng.permutation(len(texts))
-    steps = MIX * WINDOW
-    keep_t, keep_y = [], []
-    for i in mixed:  # words as the buffer sees them; a sequence that it cuts otherwise is left out
-        if len(_WORD.findall(texts[i])) == steps and "_" not in texts[i]:
-            keep_t.append(texts[i])
-            keep_y.append(y[i])
-    w = Words(keep_t)
-    good = np.diff(w.first) == steps
-    if not good.all():
-        keep_t, keep_y = [t for t, g in zip(keep_t, good) if g], [t for t, g in zip(keep_y, good) if g]
-        w = Words(keep_t)
-    return LanguageField.fit(langs, w, np.array(keep_y, np.int64).ravel(), steps)
+    sequences = []
+    for pool in [*(np.flatnonzero(of == c) for c in range(len(langs))), np.arange(len(windows))]:
+        pool = rng.permutation(pool)
+        sequences += [np.concatenate([windows[i] for i in pool[a: a + MIX]]) for a in range(0, len(pool), MIX)]
+    sequences = [sequences[i] for i in rng.permutation(len(sequences))]
+    return LanguageField.fit(langs, words, sequences, y, less)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, from its whole text alone.
 
     Null text or none with a letter: und, score 0; so are all if no row can be learned from. On a tie the language
-    first in order wins. Repeated rows get the same; a null doc_id counts as held out. Empty table: no rows. Other
-    columns are ignored.
+    first in order wins. Repeated rows get the same; a null doc_id counts as held out. A very long text is read whole,
+    by itself. Ids of any type. Empty table: no rows. Other columns are ignored.
     """
     field = docs.sparkSession.sparkContext.broadcast(fit_language(docs, sample))
 
@@ -268,7 +289,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_known_language(docs: DataFrame, least: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """docs, with its own columns, without those of no language: und, or a score under `least`."""
+    """docs, with its own columns, whatever their names, without those of no language: und, or a score under `least`.
+
+    Null, empty and letterless texts go; if no row can be learned from, all go. Repeated rows stay or go together.
+    Empty table: no rows.
+    """
     field = docs.sparkSession.sparkContext.broadcast(fit_language(docs, sample))
     at = docs.columns.index("text")
 

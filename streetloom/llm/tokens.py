@@ -16,7 +16,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """ids of a text as little-endian unsigned 32-bit integers, without special tokens.
+    """ids of a text as little-endian unsigned 32-bit integers, as the library gives them with add_special_tokens=False.
+
+    So an added token's string in a text (like <|endoftext|>) gets that token's id; such a text is encoded as a whole.
 
     A byte-level BPE with the usual pre-tokenizer never joins what stands before a space with what follows it, if
     the space stands between two characters that aren't white space. So a text is cut before such spaces, and each
@@ -28,7 +30,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.limit = CACHE_PIECES
         self.pieces: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
@@ -49,7 +51,7 @@ class Encoder:
         out: list[bytes] = []
         for text, parts, head in zip(texts, cut, self._whole(heads)):
             try:
-                if parts[0] and not head or not parts[0] and len(parts) == 1:
+                if any(t in text for t in self.added) or parts[0] and not head or not parts[0] and len(parts) == 1:
                     out.append(self._whole([text])[0] if text else b"")
                 else:
                     out.append(head + b"".join(map(pieces.__getitem__, parts[1:])))

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import re
 import zlib
 
@@ -35,13 +36,21 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
 
 
 def test_encoder_is_the_library():
     texts = ["", " ", "a", " a ", "a  b", "\n\na b", "don't 's", "x <|endoftext|> y", "a\x1c b", "é\u00a0 f", LONG]
     assert [e + b"\2\0\0\0" for e in Encoder(BPE).encode(texts)] == [ids_of(t) for t in texts]
+    assert len(ids_of("hello <|endoftext|> world")) == 4 * 5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "word", "\n", "é", "<|", "endoftext|>", "  ", "1"]), max_size=8), max_size=5))
+def test_encoder_with_added_tokens(texts):
+    texts = ["".join(t) for t in texts]
+    enc = test_encoder_with_added_tokens.__dict__.setdefault("enc", Encoder(BPE))
+    assert [e + b"\2\0\0\0" for e in enc.encode(texts)] == [ids_of(t) for t in texts]
 
 
 def test_packing(docs, empty):
@@ -219,6 +228,49 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_interactions_are_learned():
+    """Toxic if both or neither of two words stand in a text: no word tells the classes apart by itself."""
+    rng, texts, y = np.random.default_rng(0), [], []
+    for i in range(4000):
+        texts.append(" ".join([*(f"f{j}" for j in rng.integers(0, 300, 12)), *(["insult"] if i % 4 in (0, 1) else []), *(["group"] if i % 4 in (0, 2) else [])]))
+        y.append(int(i % 4 in (0, 3)))
+    m = toxicity.FactorizationMachine.fit(list(toxicity._buckets(texts[:3000])), np.array(y[:3000]), np.ones(3000), epochs=30, vrate=0.005)
+    assert ((m.scores(texts[3000:]) >= 0.5) == y[3000:]).mean() > 0.95
+    words = toxicity.FactorizationMachine(m.slot, m.w0, m.w, np.zeros_like(m.v))
+    assert ((words.scores(texts[3000:]) >= 0.5) == y[3000:]).mean() < 0.6
+
+
+def test_machine_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    texts = ["", "you awful zork", "zork zork you", "kind soul " * 40]
+    found = [set(b.tolist()) for b in toxicity._buckets(texts)]
+    terms = sorted(set().union(*found))
+    slot = np.full(1 << toxicity.BITS, -1, np.int32)
+    slot[terms[1:]] = np.arange(len(terms) - 1)  # one term is unknown
+    m = toxicity.FactorizationMachine(slot, -0.3, rng.normal(size=len(terms) - 1), rng.normal(size=(len(terms) - 1, toxicity.FACTORS)))
+    for score, f in zip(m.scores(texts), found):
+        t = [int(slot[b]) for b in f if slot[b] >= 0]
+        z = m.w0 + sum(m.w[i] for i in t) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(t, 2))
+        assert abs(score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.score_toxicity(d, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted for r in rows if r.toxic]) >= 0.9 and np.mean([r.predicted for r in rows if not r.toxic]) < 0.01
+
+
+def test_toxicity_keeps_odd_rows(spark):
+    rows = [(f"i{k}", "you awful zork" if k % 4 == 0 else "you kind soul", "x", 1) for k in range(200)]
+    odd = [(None, "you kind soul", "x", 1), ("e", None, "x", 1), ("e", "", "x", 1), ("e", "", "x", 1), ("long", "kind soul " * 30000, "x", 1), ("long2", "awful zork " * 30000, "x", 1)]
+    d = spark.createDataFrame(rows + odd, "doc_id string, text string, score string, predicted int")
+    labels = spark.createDataFrame([(r[0], int(r[1] == "you awful zork")) for r in rows], "doc_id string, toxic int")
+    kept = toxicity.keep_harmless(d, labels)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id or "", r.text or "") for r in kept.collect()) == sorted((i or "", t or "") for i, t, *_ in rows + odd if "awful" not in (t or ""))
+
+
 def test_simhash(spark, docs, empty):
     base = [f"w{i}" for i in range(300)]
     more = [(100 + k, " ".join([*base[:150 + k], "changed", *base[151 + k:]]).upper(), None, None, 0, "", "", "") for k in range(12)]
@@ -350,12 +402,57 @@ def test_forward_backward_is_word_by_word():
     e, t = np.exp(f.emissions(w)), np.exp(f.move.astype(float))
     for a, b in zip(w.first[:-1], w.first[1:]):
         if a < b:
-            x, y = f._passes(np.exp(f.emissions(w)[a:b] - f.emissions(w)[a:b].max(1, keepdims=True))[None], t)
+            x, y = f._passes(np.exp(f.emissions(w)[a:b] - f.emissions(w)[a:b].max(1, keepdims=True))[None], t, np.ones((1, b - a), bool))
             p = (x * y)[0]
             assert np.allclose(got[a:b], p / p.sum(1, keepdims=True), atol=1e-6)
     assert len(e) == len(got)
 
 
+def test_posteriors_are_sums_over_all_paths():
+    rng = np.random.default_rng(2)
+    f = language.LanguageField(list("abc"), rng.normal(size=(1 << language.WORD_BITS, 3)).astype(np.float32), rng.normal(size=(1 << language.GRAM_BITS, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32))
+    texts = ["one", "one two three", "", "a b c d e f"]
+    w = language.Words(texts)
+    e, got = f.emissions(w), f.posteriors(w)
+    for a, b in zip(w.first[:-1], w.first[1:]):
+        total = np.zeros((b - a, 3))
+        for path in itertools.product(range(3), repeat=int(b - a)):
+            weight = np.exp(f.move[:, path[0]]).sum() * np.exp(sum(e[a + i, c] for i, c in enumerate(path)) + sum(f.move[c, d] for c, d in zip(path, path[1:])))
+            for i, c in enumerate(path):
+                total[i, c] += weight
+        if b > a:
+            assert np.allclose(got[a:b], total / total.sum(1, keepdims=True), atol=1e-6)
+
+
+def test_short_and_unspaced_texts_are_learned():
+    words = {"en": "the small house where is cat dog here now water", "de": "das kleine haus wo ist die katze hund hier jetzt"}
+    rng = np.random.default_rng(4)
+    rows = [(" ".join(rng.choice(words[c].split(), 4)), c) for c in ("en", "de") for _ in range(40)]
+    m = language.learn(*map(list, zip(*rows)))
+    assert m.predict([t for t, _ in rows])[0] == [c for _, c in rows]
+    rows = [("これは日本語の文章です今日は天気がいいので散歩に行きましょう" * 3, "ja")] * 30 + [("this is a text about the weather and so on " * 3, "en")] * 30
+    m = language.learn(*map(list, zip(*rows)))
+    assert m.predict([t for t, _ in rows] + ["日本語です", "weather"])[0] == [c for _, c in rows] + ["ja", "en"]
+    none = language.learn(["", "12 "[2:]], ["en", "de"])
+    assert none.langs == [] and none.predict(["hello", None])[0] == ["und", "und"]
+
+
+def test_rare_languages_and_last_words_are_learned():
+    langs = [f"l{i:03}" for i in range(90)]
+    rows = [(" ".join(f"w{i}x{j}" for j in range(14)), c) for i, c in enumerate(langs) for _ in range(2)]
+    m = language.learn(*map(list, zip(*rows)))
+    assert m.langs == langs and m.word.size <= 1 << language.WEIGHT_BITS
+    assert m.predict([f"w{i}x12 w{i}x13" for i in range(90)])[0] == langs  # words after the last full window
+
+
+def test_language_of_odd_tables(spark):
+    rows = [("a", "the small house", "en", 1.0), ("b", "das kleine haus", "de", 2.0), ("b", "das kleine haus", "de", 2.0), (None, "the", None, 0.0), ("c", "the small the " * 5000, "en", 0.0), ("d", "", "xx", 0.0)] + [(f"k{i}", ("the house", "das haus")[i % 2], ("en", "de")[i % 2], 0.0) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, lang string, score double")
+    got = sorted((r.doc_id or "", r.lang_pred) for r in language.identify(d).collect())
+    assert got == sorted((i or "", "und" if not t else "en" if t.startswith("the") else "de") for i, t, *_ in rows)
+    assert language.keep_known_language(d).columns == d.columns and language.keep_known_language(d).count() == len(rows) - 1
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
