@@ -415,6 +415,8 @@ def test_posteriors_are_sums_over_all_paths():
     w = language.Words(texts)
     e, got = f.emissions(w), f.posteriors(w)
     for a, b in zip(w.first[:-1], w.first[1:]):
+        if a == b:
+            continue
         total = np.zeros((b - a, 3))
         for path in itertools.product(range(3), repeat=int(b - a)):
             weight = np.exp(f.move[:, path[0]]).sum() * np.exp(sum(e[a + i, c] for i, c in enumerate(path)) + sum(f.move[c, d] for c, d in zip(path, path[1:])))
