@@ -1,4 +1,4 @@
-"""Embedding near-dedup by collision counts over one-dimensional projections."""
+"""Embedding near-dedup by collision counts over one-dimensional projections, inside cells of bands of projections."""
 
 from __future__ import annotations
 
@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from .common import local_components, materialize
 from .components import components
+from .shingles import _lists
 
-#: Projections in all, in so many bands; a band's first KEYED projections deal the rows.
-PROJECTIONS, BANDS, KEYED = 24, 3, 3
-#: A pair may miss at most this many windows: fewer than bands, so some band is met in full.
-MISSES = BANDS - 1
-#: Share of true pairs (at the threshold exactly) that the windows may lose, see half_window().
+#: Projections whose windows are counted, and how many of them a pair must meet at least.
+PROJECTIONS, COUNT = 16, 10
+#: Share of true pairs (at the threshold exactly) that the windows, and as many that the bands may lose.
 LOSS = 1e-4
-#: About so many vectors of a label go to one part of it; a larger label is split.
-LABEL_ROWS = 20_000
+#: About so many vectors of a label share a cell of a band, if they are spread evenly.
+CELL_ROWS = 256
+#: A task takes so many vectors of a cell at most; a fuller cell is compared block by block.
+BLOCK_ROWS = 4_000
 #: Queries compared at once in a task.
-BLOCK = 256
+QUERIES = 256
+#: Counts of so many full cells are broadcast at most (under 10 MB); more of them meet the rows in a shuffle.
+MOST_SENT = 100_000
 
 
 def _hit(half: float, distance: float, dims: int) -> float:
@@ -36,17 +39,24 @@ def half_window(cosine: float, dims: int) -> float:
     for _ in range(60):
         mid = (lo + hi) / 2
         p = _hit(mid, distance, dims)
-        passed = sum(math.comb(PROJECTIONS, k) * (1 - p) ** k * p ** (PROJECTIONS - k) for k in range(MISSES + 1))
+        passed = sum(math.comb(PROJECTIONS, k) * p**k * (1 - p) ** (PROJECTIONS - k) for k in range(COUNT, PROJECTIONS + 1))
         lo, hi = (lo, mid) if passed >= 1 - LOSS else (mid, hi)
     return hi
 
 
-def directions(dims: int, seed: int = 7) -> np.ndarray:
-    """(dims, PROJECTIONS) unit vectors; orthogonal where there are dimensions enough."""
-    a = np.random.default_rng(seed).normal(size=(dims, PROJECTIONS))
-    if dims >= PROJECTIONS:
-        a = np.linalg.qr(a)[0]
-    return a / np.linalg.norm(a, axis=0)
+def bands(rows: int, cosine: float) -> tuple[int, int]:
+    """(bands, bits): a band's cell is the signs of `bits` projections; so many bands that all but LOSS of the pairs at the threshold share a cell."""
+    bits = max(0, math.ceil(math.log2(max(1, rows) / CELL_ROWS)))
+    share = (1 - math.acos(min(1.0, cosine)) / math.pi) ** bits
+    return (1 if share == 1 else math.ceil(math.log(LOSS) / math.log(1 - share))), bits
+
+
+def directions(dims: int, n: int, seed: int) -> np.ndarray:
+    """(dims, n) random unit vectors; orthogonal by groups of `dims`."""
+    rng, out = np.random.default_rng(seed), []
+    for lo in range(0, n, dims):
+        out.append(np.linalg.qr(rng.normal(size=(dims, dims)))[0][:, : n - lo])
+    return np.concatenate(out, 1) if out else np.zeros((dims, 0))
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -59,115 +69,112 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def link_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
+def _meet(unit: np.ndarray, p: np.ndarray, cells: np.ndarray, n: np.ndarray, block: np.ndarray, band: int, half: float, cosine: float):
+    """(links of each vector, ends a, ends b) of one cell's vectors, or of two blocks of it: then only across the blocks.
+
+    Each projection is sorted; a query's window is a run of ranks. The runs that hold a pair are counted, pairs with
+    COUNT of them are verified. A pair that shares a cell in an earlier band is left to that band.
+    """
+    order = np.argsort(p, axis=0, kind="stable")
+    rank = np.empty(p.shape, np.int32)
+    np.put_along_axis(rank, order, np.arange(len(p), dtype=np.int32)[:, None], 0)
+    lo, hi = np.empty(p.shape, np.int32), np.empty(p.shape, np.int32)
+    for k in range(p.shape[1]):
+        line = p[order[:, k], k]
+        lo[:, k], hi[:, k] = np.searchsorted(line, p[:, k] - half, "left"), np.searchsorted(line, p[:, k] + half, "right")
+    across = block[0] != block[-1]
+    query, other = (np.flatnonzero(block == block[0]), np.flatnonzero(block != block[0])) if across else (np.arange(len(p)),) * 2
+    sums, ends = np.zeros(len(p), np.int64), []
+    ranks = np.ascontiguousarray(rank[other].T)
+    for at in range(0, len(query), QUERIES):
+        some = query[at: at + QUERIES]
+        count = np.zeros((len(some), len(other)), np.int8)
+        for k in range(p.shape[1]):
+            count += (ranks[k] >= lo[some, k][:, None]) & (ranks[k] < hi[some, k][:, None])
+        i, j = np.nonzero(count >= COUNT)
+        i, j = some[i], other[j]
+        if not across:
+            i, j = i[i < j], j[i < j]
+        near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
+        i, j = i[near], j[near]
+        fresh = ~(cells[i, :band] == cells[j, :band]).any(1)
+        i, j = i[fresh], j[fresh]
+        np.add.at(sums, i, n[j])
+        np.add.at(sums, j, n[i])
+        node, root = local_components(i, j)
+        ends.append((root[node != root], node[node != root]))
+    return sums, np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])
+
+
+def link_vectors(vectors: DataFrame, cosine: float = 0.98, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector.
 
     Vectors link if their labels are equal and not null, their lengths are equal and their cosine, in double precision,
     is at least `cosine`. Null, empty or zero vectors, and those with a null or non-finite component, link with nothing:
     n_links 0, a component of their own. Equal vectors of a label are one class with a count, so copies aren't paired.
-    Rows that repeat a vec_id are vectors of their own and count as links. Empty table: no rows. Other columns are ignored.
+    Rows that repeat a vec_id are vectors of their own and count as links; vec_id is a whole number. Empty table: no
+    rows. Other columns are ignored, whatever their names.
 
-    Each class has one home cell in each band (the grid of its keyed projections, cells as wide as a window) and asks
-    all cells that its own windows reach. Where a query meets homes, all PROJECTIONS windows are counted; pairs with at
-    most MISSES misses are verified by their cosine. Pairs that several bands find count in the first one only.
+    A label's classes are dealt to cells: in each of several bands a cell is the signs of some projections, so many that
+    a cell holds about CELL_ROWS however large the label is. Bands grow with a small power of its size (0.1 at 0.98), so
+    do the copies of a vector. In a cell the windows of PROJECTIONS sorted projections are counted for each pair.
     """
     v = vectors.select(vectors["vec_id"].alias("vec_id"), vectors["embedding"].cast("array<double>").alias("e"), vectors["label"].alias("label"))
     # products of two components must neither overflow nor vanish: the operator scales by the largest one
     fit = F.coalesce(F.col("label").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False))
-    rows = materialize(v.select("vec_id", "label", fit.alias("fit"), F.when(fit, F.transform("e", lambda x: x + F.lit(0.0))).alias("e")).withColumn("cls", F.when(F.col("fit"), F.xxhash64("label", "e"))), "vectors")
-    classes = rows.where("fit").groupBy("label", "e").agg(F.first("cls").alias("cls"), F.count("*").alias("n"), F.min("vec_id").alias("low"))
-    classes = materialize(classes.withColumn("dims", F.size("e")), "classes")
-    parts = classes.groupBy("label", "dims").count().select(F.col("label").alias("l"), F.col("dims").alias("d"), F.ceil(F.col("count") / LABEL_ROWS).cast("int").alias("parts"))
-    asked = classes.join(parts, (F.col("label") == F.col("l")) & (F.col("dims") == F.col("d")))
+    rows = materialize(v.select("vec_id", "label", fit.alias("fit"), F.when(fit, F.transform("e", lambda x: x + F.lit(0.0))).alias("e")).withColumn("hash", F.when(F.col("fit"), F.xxhash64("label", "e"))), "vectors")
+    classes = rows.where("fit").groupBy("hash", "label", "e").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
+    classes = materialize(classes.select("*", F.size("e").alias("dims"), F.monotonically_increasing_id().alias("cls")), "classes")
+    sizes = classes.groupBy(F.col("label").alias("l"), F.col("dims").alias("d")).count()
+    sized = classes.join(sizes, F.col("label").eqNullSafe(F.col("l")) & (F.col("dims") == F.col("d"))).select("label", "e", "cls", "n", "dims", "count")
+    kind = vectors.schema["label"].dataType.simpleString()
 
     def deal(batches):
         for b in batches:
-            dims = b.column(4).to_numpy()
-            for d in np.unique(dims):
-                t = b.filter(pa.array(dims == d))
-                half = half_window(cosine, int(d))
-                p = _unit(_vectors(t.column(1), int(d))) @ directions(int(d))
-                parts = t.column(5).to_numpy()
-                cls = t.column(2).to_numpy()
-                out = []
-                for band in range(BANDS):
-                    x = p[:, band * (PROJECTIONS // BANDS):][:, :KEYED]
-                    home = np.floor(x / (2 * half)).astype(np.int64)
-                    own = np.mod(cls, parts)
-                    out.append((np.arange(len(t)), np.full(len(t), band), home, own, np.ones(len(t), bool)))
-                    lo, hi = np.floor((x - half) / (2 * half)).astype(np.int64), np.floor((x + half) / (2 * half)).astype(np.int64)
-                    for corner in range(1 << KEYED):
-                        up = np.array([corner >> k & 1 for k in range(KEYED)], bool)
-                        cell = np.where(up, hi, lo)
-                        new = ~((hi == lo) & up).any(1)
-                        for part in range(int(parts.max())):
-                            at = np.flatnonzero(new & (part < parts))
-                            out.append((at, np.full(len(at), band), cell[at], np.full(len(at), part), np.zeros(len(at), bool)))
-                at = np.concatenate([o[0] for o in out])
-                cells = np.concatenate([o[2] for o in out])
-                cell = np.zeros(len(at), np.int64)
-                for k in range(KEYED):
-                    cell = cell * 4096 + (cells[:, k] + 2048) % 4096
-                s = t.select([0, 1, 2, 3, 4]).take(pa.array(at))
-                yield pa.record_batch({"label": s.column(0), "e": s.column(1), "cls": s.column(2), "n": s.column(3), "dims": s.column(4), "band": pa.array(np.concatenate([o[1] for o in out]), pa.int32()), "cell": cell, "part": pa.array(np.concatenate([o[3] for o in out]), pa.int32()), "home": np.concatenate([o[4] for o in out])})
-
-    kind = vectors.schema["label"].dataType.simpleString()
-    dealt = asked.select("label", F.col("e").cast("array<double>"), "cls", "n", "dims", "parts").mapInArrow(deal, f"label {kind}, e array<double>, cls long, n long, dims int, band int, cell long, part int, home boolean")
+            dims, count = b.column(4).to_numpy(), b.column(5).to_numpy()
+            for d, c in sorted(set(zip(dims.tolist(), count.tolist()))):
+                t = b.filter(pa.array((dims == d) & (count == c)))
+                many, bits = bands(c, cosine)
+                unit = _unit(_vectors(t.column(1), d))
+                sign = (unit @ directions(d, many * bits, 11) > 0).reshape(len(t), many, bits)
+                cell = sign @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(t), many), np.int64)
+                yield pa.record_batch({"label": t.column(0), "e": t.column(1), "cls": t.column(2), "n": t.column(3), "dims": t.column(4), "cells": _lists(list(cell))})
+
+    dealt = materialize(sized.mapInArrow(deal, f"label {kind}, e array<double>, cls long, n long, dims int, cells array<long>"), "cells")
+    key = ["label", "dims", "band", "cell"]
+    spread = dealt.select("*", F.posexplode("cells").alias("band", "cell"))
+    full = spread.groupBy(*key).count().where(F.col("count") > block_rows)
+    full = materialize(full.select(*(F.col(c).alias(f"full_{c}") for c in key), F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")), "full")
+    met = spread.join(F.broadcast(full) if full.count() <= MOST_SENT else full, [F.col(c) == F.col(f"full_{c}") for c in key], "left")
+    # a class of a full cell goes to all pairs of blocks that its own block is in
+    met = met.select("label", "e", "cls", "n", "dims", "cells", "band", "cell", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("label", "e", "cls", "n", "dims", "cells", "band", "cell", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"))
 
     def meet(key, table):
         dims, band = key[1].as_py(), key[2].as_py()
-        half, way = half_window(cosine, dims), directions(dims)
-        home = table.column("home").to_numpy()
-        unit = _unit(_vectors(table.column("e"), dims))
-        cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
-        p = (unit @ way).astype(np.float64)
-        q, h = np.flatnonzero(~home), np.flatnonzero(home)
-        # homes in order of the band's first projection: a query's window is a run of them
-        first = band * (PROJECTIONS // BANDS)
-        h = h[np.argsort(p[h, first], kind="stable")]
-        q = q[np.argsort(p[q, first], kind="stable")]
-        sums, ends_a, ends_b = np.zeros(len(cls), np.int64), [], []
-        for lo in range(0, len(q) if len(h) else 0, BLOCK):
-            some = q[lo: lo + BLOCK]
-            a, b = np.searchsorted(p[h, first], [p[some[0], first] - half, p[some[-1], first] + half * (1 + 1e-12)])
-            for la in range(int(a), int(b), 8 * BLOCK):
-                other = h[la: min(int(b), la + 8 * BLOCK)]
-                misses = np.zeros((len(some), len(other)), np.int8)
-                full = np.zeros((len(some), len(other)), np.int8)  # earlier bands whose keyed windows hold
-                for g in range(BANDS):
-                    keyed = np.ones((len(some), len(other)), bool)
-                    for k in range(g * (PROJECTIONS // BANDS), (g + 1) * (PROJECTIONS // BANDS)):
-                        inside = np.abs(p[some, k][:, None] - p[other, k][None, :]) <= half
-                        misses += ~inside
-                        if k < g * (PROJECTIONS // BANDS) + KEYED:
-                            keyed &= inside
-                    if g < band:
-                        full += keyed
-                    elif g == band:
-                        full += ~keyed
-                i, j = np.nonzero((misses <= MISSES) & (full == 0))
-                i, j = some[i], other[j]
-                apart = cls[i] != cls[j]
-                i, j = i[apart], j[apart]
-                near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
-                i, j = i[near], j[near]
-                np.add.at(sums, i, n[j])
-                ends_a.append(cls[i])
-                ends_b.append(cls[j])
-        a = np.concatenate(ends_a) if ends_a else np.zeros(0, np.int64)
-        b = np.concatenate(ends_b) if ends_b else np.zeros(0, np.int64)
-        node, root = local_components(a, b)
-        far = node != root
+        unit, cls = _unit(_vectors(table.column("e"), dims)), table.column("cls").to_numpy()
+        cells = np.asarray(table.column("cells").combine_chunks().flatten()).reshape(len(cls), -1)
+        order = np.argsort(table.column("block").to_numpy(), kind="stable")
+        unit, cls, cells, block, n = unit[order], cls[order], cells[order], table.column("block").to_numpy()[order], table.column("n").to_numpy()[order]
+        if key[4] != key[5] and block[0] == block[-1]:
+            sums, a, b = np.zeros(len(cls), np.int64), *np.zeros((2, 0), np.int64)
+        else:
+            sums, a, b = _meet(unit, unit @ directions(dims, PROJECTIONS, 7), cells, n, block, band, half_window(cosine, dims), cosine)
         some = np.flatnonzero(sums)
-        return pa.table({"a": np.concatenate([cls[some], root[far]]), "b": pa.array(np.concatenate([np.zeros(len(some), np.int64), node[far]])), "links": np.concatenate([sums[some], np.full(int(far.sum()), -1)])})
+        return pa.table({"a": np.concatenate([cls[some], cls[a]]), "b": np.concatenate([cls[some], cls[b]]), "links": np.concatenate([sums[some], np.full(len(a), -1)])})
 
-    found = materialize(dealt.groupBy("label", "dims", "band", "cell", "part").applyInArrow(meet, "a long, b long, links long"), "links")
+    found = materialize(met.groupBy(*key, "one", "two").applyInArrow(meet, "a long, b long, links long"), "links")
     links = found.where("links >= 0").groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("links"))
     groups = components(found.where("links < 0").select("a", "b"))
-    named = classes.select("cls", "n", "low").join(links, F.col("cls") == F.col("c"), "left").join(groups, F.col("cls") == F.col("node"), "left")
-    named = materialize(named.select("cls", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("g")), "named")
+    named = classes.select("hash", "label", "e", "cls", "n", "low").join(links, F.col("cls") == F.col("c"), "left").join(groups, F.col("cls") == F.col("node"), "left")
+    named = named.select("hash", "label", "e", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("g"))
+    alone = classes.select("hash").distinct().count() == classes.count()  # no two classes share a hash
+    named = materialize(named.drop(*(["label", "e"] if alone else [])), "named")
     least = named.groupBy("g").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "g").select(F.col("cls").alias("k"), "n_links", "component_id")
-    out = rows.select("vec_id", "cls").join(named, F.col("cls") == F.col("k"), "left")
+    named = named.join(least, "g").drop("g", "low")
+    by = [c for c in ("hash", "label", "e") if c in named.columns]
+    named = named.select(*(F.col(c).alias(f"class_{c}") for c in by), "n_links", "component_id")
+    out = rows.select("vec_id", *by).join(named, [F.col(c) == F.col(f"class_{c}") for c in by], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -157,9 +157,10 @@ def vectors():
     return rows
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("block_rows", [embeddings.BLOCK_ROWS, 7])
+def test_embeddings(spark, block_rows):
     rows = vectors()
-    got = {r.vec_id: r for r in embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98).collect()}
+    got = {r.vec_id: r for r in embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98, block_rows).collect()}
     ok = {i: np.array(e) / np.max(np.abs(e)) for i, e, lab in rows if lab is not None and e and None not in e and np.isfinite(e).all() and np.any(e)}
     label = {r[0]: r[2] for r in rows}
     link = {i: {j for j in ok if j != i and label[i] == label[j] and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] >= 0.98 * np.linalg.norm(ok[i]) * np.linalg.norm(ok[j])} for i in ok}
@@ -173,6 +174,37 @@ def test_embeddings(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(link.get(i, ())), min(seen), i == min(seen)), i
 
 
+def test_embeddings_in_cells():
+    """Vectors over many cells and bands: pairs found against all pairs, at cosines from 0.98 on."""
+    rng = np.random.default_rng(8)
+    n, dims = 6000, 64
+    base = rng.normal(size=(n, dims))
+    base[n // 2:] = base[: n // 2] / np.linalg.norm(base[: n // 2], axis=1, keepdims=True) + rng.normal(size=(n // 2, dims)) * rng.uniform(0.2, 0.206, (n // 2, 1)) / 8
+    unit = embeddings._unit(base)
+    many, bits = embeddings.bands(n * 20, 0.98)  # as many bits as a label of 120,000 has
+    cells = (unit @ embeddings.directions(dims, many * bits, 11) > 0).reshape(n, many, bits) @ (1 << np.arange(bits))
+    p, half = unit @ embeddings.directions(dims, embeddings.PROJECTIONS, 7), embeddings.half_window(0.98, dims)
+    found, compared = [], 0
+    for band in range(many):
+        for c in np.unique(cells[:, band]):
+            at = np.flatnonzero(cells[:, band] == c)
+            compared += len(at) ** 2
+            sums, *_ = embeddings._meet(unit[at], p[at], cells[at], np.ones(len(at), np.int64), np.zeros(len(at), np.int64), band, half, 0.98)
+            found.append(np.repeat(at, sums))
+    links = np.bincount(np.concatenate(found), minlength=n)
+    true = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert true.sum() > 2000 and (links <= true).all() and links.sum() >= 0.999 * true.sum()
+    assert compared < 0.05 * n * n
+
+
+def test_embeddings_of_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, label string, hash long, cls string, band int, n long, low long"
+    rows = [(1, [1.0, 0.0], "x", 1, "c", 0, 0, 0), (1, [1.0, 0.0], "x", 1, "c", 0, 0, 0), (2, [2.0, 0.0], "x", 1, "c", 0, 0, 0), (3, [0.0, 1.0], "x", 1, "c", 0, 0, 0), (4, [1.0, 0.0], "y", 1, "c", 0, 0, 0), (5, [1.0, 0.0, 0.0], "x", 1, "c", 0, 0, 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.link_vectors(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
+    assert embeddings.link_vectors(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_components_by_shuffles(spark):
     rng = np.random.default_rng(0)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(12)] + [(None, 1)]
