@@ -24,6 +24,8 @@ WINDOW = 12
 MIX = 4
 #: Weights in all, languages times hash buckets, stay under 2^WEIGHT_BITS: beyond 32 languages the buckets get fewer.
 WEIGHT_BITS = 23
+#: The limits of so many languages are broadcast (under 10 MB); those of more meet the rows in a shuffle.
+MOST_SENT = 100_000
 LETTER = re.compile(r"[^\W\d_]")
 _FLOOR = 1e-9
 
@@ -241,6 +243,7 @@ def fit_language(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMP
     known = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"])).select(F.xxhash64(docs["doc_id"], F.lit(seed)).alias("h"), docs["lang"].alias("lang"), docs["text"].alias("text"))
     counts = known.groupBy("lang").count().collect()  # a row a language
     limits = docs.sparkSession.createDataFrame([(r[0], int(min(1, sample / r[1]) * (1 << 30))) for r in counts], "l string, most long")
+    limits = F.broadcast(limits) if len(counts) <= MOST_SENT else limits
     picked = known.join(limits, F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1 << 30)) < F.col("most"))
     before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1))
     share = sample_bytes / max(1, len(counts))
