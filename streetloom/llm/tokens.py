@@ -11,6 +11,8 @@ import numpy as np
 CACHE_PIECES = 350_000
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 1_000_000
+#: First words of texts, without a space before them, that one worker keeps.
+HEADS = 50_000
 #: So many new pieces are encoded as one text.
 TOGETHER = 200
 #: How a byte-level vocabulary writes the space at the start of a token (fixed value).
@@ -41,6 +43,7 @@ class Encoder:
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)  # ids whose token starts with a space
         self.spaced[[i for t, i in vocab.items() if t.startswith(_SPACE)]] = True
         self.limit = CACHE_PIECES
+        self.heads: dict[str, bytes] = {}
         self.pieces: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
@@ -70,8 +73,12 @@ class Encoder:
         pieces.update(dict.fromkeys(new.difference(clean)))  # pieces that white space touches: None
         self._learn(clean)
         heads = [c[0] if c and c[0] == c[0].strip() else "" for c in cut]
+        if len(self.heads) > HEADS:
+            self.heads = {}
+        unknown = [h for h in set(heads) if h not in self.heads]
+        self.heads.update(zip(unknown, self._whole(unknown)))
         out: list[bytes] = []
-        for text, parts, head in zip(texts, cut, self._whole(heads)):
+        for text, parts, head in zip(texts, cut, map(self.heads.__getitem__, heads)):
             try:
                 if not parts or parts[0] and not head or not parts[0] and len(parts) == 1:
                     out.append(self._whole([text])[0] if text else b"")
