@@ -125,6 +125,12 @@ def listed_keys(value: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(value, "[;,]"), lambda p: F.trim(p)), lambda p: p != ""))
 
 
+def resolve(tag: Get, defaults: dict[str, str], overwrite: bool = False) -> dict[str, Column]:
+    """Blanket tags on a feature's own: they fill blanks only, or replace what is there."""
+    own = lambda k: F.when(F.trim(tag(k)) != "", F.trim(tag(k)))
+    return {k: F.lit(v) if overwrite else F.coalesce(own(k), F.lit(v)) for k, v in defaults.items()}
+
+
 def value_problems(tag: Get) -> Column:
     """Names of the tags whose value breaks its rule."""
     rules = (("maxspeed", ~tag("maxspeed").rlike(r"^\s*\d+(\.\d+)?\s*(mph|knots)?\s*$")), ("oneway", ~F.lower(tag("oneway")).isin("yes", "no", "true", "false", "1", "0", "-1", "reverse")),

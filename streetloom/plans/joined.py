@@ -8,8 +8,8 @@ from ..functions import geom, tags, traffic
 from ..operators import build as net
 from ..operators.graph import pieces
 from ..sources import derived as src
-from .network import _buckets, _sparse, _streets, jn_13_new_nodes
-from .oracle import _BIKE, _BUCKETS, _DRIVE, _LINES, _NEAR, _NODES, _PIECES, _POINTS, _SEGMENTS, _STREETS, _WALK, _side
+from .network import _buckets, _line_pieces, _streets, jn_13_new_nodes
+from .oracle import _BIKE, _BUCKETS, _DRIVE, _LINE_PIECES, _LINES, _NEAR, _NODES, _POINTS, _SEGMENTS, _STREETS, _WALK, _side
 
 _NAMES = ("su", "Mo", "tu", "WE", "th", "fr", "Sa")
 
@@ -117,51 +117,33 @@ def top_17_split(spark, sf_dir):
 
 
 def top_18_nodes(spark, sf_dir):
-    """Nodes of the network of the lines with the layer 0."""
-    nodes, _ = net.build(_drawn(spark, sf_dir).where("layer = 0"), reach=0.0)
+    """Nodes of the network of all lines: vertices and crossings."""
+    nodes, _ = net.build(_drawn(spark, sf_dir), reach=0.0)
     return nodes.agg(F.count("*").alias("nodes"), F.min("node_id").alias("first"), F.max("node_id").alias("last"))
 
 
 def grf_03_stranded(spark, sf_dir):
-    """Streets of pieces that hold none of the existing ones (order keys divisible by 997)."""
-    d = src.streets(spark, sf_dir).where("line = 7 and way_id % 11 = 0").select("okey", "u", "v")
-    p = pieces(_sparse(spark, sf_dir))
-    d = d.join(p, d["u"] == p["node"]).select("okey", "u", "v", "piece")
-    return d.join(d.where("okey % 997 = 0").select("piece").distinct(), "piece", "left_anti")
-
-
-def grf_02_pieces_whole(spark, sf_dir):
-    """Connected pieces of the whole network; grf_02_pieces has every eleventh way's bridges only."""
-    return pieces(src.streets(spark, sf_dir).select("u", "v")).select(F.col("node").alias("node_id"), "piece")
-
-
-def agg_06_largest_whole(spark, sf_dir):
-    return grf_02_pieces_whole(spark, sf_dir).groupBy("piece").agg(F.count("*").alias("nodes"))
-
-
-def grf_03_stranded_whole(spark, sf_dir):
-    """Of all streets those of pieces that hold none of the existing ones (order keys divisible by 997)."""
-    p = grf_02_pieces_whole(spark, sf_dir)
-    d = src.streets(spark, sf_dir).select("okey", "u", "v")
-    d = d.join(p, d["u"] == p["node_id"]).select("okey", "u", "v", "piece")
-    return d.join(d.where("okey % 997 = 0").select("piece").distinct(), "piece", "left_anti").select("okey", "u", "v", "piece")
+    """Lines of pieces that hold none of the existing ones (here those with ids divisible by 97)."""
+    p = _line_pieces(spark, sf_dir)
+    return p.join(p.where("line_id % 97 = 0").select("piece").distinct(), "piece", "left_anti").select("line_id", "piece")
 
 
 def cov_05_regions(spark, sf_dir):
-    """Groups of neighbouring empty cells of 10 m in the square of 300 m around the origin."""
-    cell = F.col("cx") * 30 + F.col("cy")
-    hit = src.lines(spark, sf_dir).select(geom.cell(F.col("x"), 10.0).alias("cx"), geom.cell(F.col("y"), 10.0).alias("cy")).where("cx between -15 and 14 and cy between -15 and 14").distinct()
-    grid = spark.range(900).select((F.floor(F.col("id") / 30) - 15).alias("cx"), (F.col("id") % 30 - 15).alias("cy"))
-    gap = net._written(grid.join(hit, ["cx", "cy"], "left_anti").select("cx", "cy", cell.alias("cell")))
+    """Groups of neighbouring cells that no vertex lies in, over the box of all lines; cells of 25 m at least, 40 a side."""
+    d = src.lines(spark, sf_dir)
+    box = d.agg(F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north"))
+    size = F.greatest(F.sqrt((F.col("east") - F.col("west")) * (F.col("north") - F.col("south"))) / 40, F.lit(25.0))
+    box = box.withColumn("size", size).select("*", *((F.floor((F.col(hi) - F.col(lo)) / F.col("size")) + 1).cast("long").alias(n) for n, lo, hi in (("cols", "west", "east"), ("rows", "south", "north"))))
+    hit = d.crossJoin(F.broadcast(box)).select(F.floor((F.col("x") - F.col("west")) / F.col("size")).cast("long").alias("cx"), F.floor((F.col("y") - F.col("south")) / F.col("size")).cast("long").alias("cy")).distinct()  # box: one row
+    grid = box.select("cols", F.explode(F.expr("sequence(0, cols - 1)")).alias("cx"), "rows").select("cols", "cx", F.explode(F.expr("sequence(0, rows - 1)")).alias("cy"))
+    gap = net._written(grid.join(hit, ["cx", "cy"], "left_anti").select("cx", "cy", (F.col("cy") * F.col("cols") + F.col("cx")).alias("cell")))
     step = gap.select("cell", F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i, j in ((0, 0), (0, 1), (1, 0))))).alias("s")).select("cell", "s.*")
     edges = step.join(gap.withColumnRenamed("cell", "other"), ["cx", "cy"]).select(F.col("cell").alias("u"), F.col("other").alias("v"))
     return pieces(edges).groupBy(F.col("piece").alias("region")).agg(F.count("*").alias("cells"))
 
 
-QUERIES = {f.__name__: f for f in (scl_17_days, scl_18_time_range, scl_30_compass, flt_14_at_grade, flt_23_allows_mode, flt_52_one_per_street, agg_11_by_road, jn_14_nearest_id, jn_33_speed_rows, win_02_repeats, win_08_ids, top_05_snap_edges, top_12_junctions, top_17_split, top_18_nodes, grf_03_stranded, grf_02_pieces_whole, agg_06_largest_whole, grf_03_stranded_whole, cov_05_regions)}
+QUERIES = {f.__name__: f for f in (scl_17_days, scl_18_time_range, scl_30_compass, flt_14_at_grade, flt_23_allows_mode, flt_52_one_per_street, agg_11_by_road, jn_14_nearest_id, jn_33_speed_rows, win_02_repeats, win_08_ids, top_05_snap_edges, top_12_junctions, top_17_split, top_18_nodes, grf_03_stranded, cov_05_regions)}
 
-_WHOLE = f"""RECURSIVE {_STREETS}, s AS (SELECT DISTINCT u, v FROM (SELECT u, v FROM streets UNION ALL SELECT v, u FROM streets)),
- reach(node_id, r) AS (SELECT u, u FROM s UNION SELECT s.v, reach.r FROM reach JOIN s ON s.u = reach.node_id), found AS (SELECT node_id, min(r) AS piece FROM reach GROUP BY node_id)"""
 _SEP = "(CASE WHEN highway = 'motorway' OR bridge IS NOT NULL THEN 1 ELSE 0 END)"
 _CUTS = f"""{_SEGMENTS}, hits AS (SELECT a.line_id AS la, b.line_id AS lb, a.*, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM seg a JOIN seg b ON a.line_id % 4 = b.line_id % 4 AND a.line_id < b.line_id AND a.line_id % 11 <> 0 AND b.line_id % 11 <> 0
  AND {_side('a', 'b', 1)} * {_side('a', 'b', 2)} < 0 AND {_side('b', 'a', 1)} * {_side('b', 'a', 2)} < 0)"""
@@ -188,11 +170,9 @@ SELECT point_id, round(min(away), 6) AS away FROM d GROUP BY 1 HAVING round(min(
     "top_12_junctions": f"""WITH {_CUTS}, t AS (SELECT *, ((bx1 - x1) * (by2 - by1) - (by1 - y1) * (bx2 - bx1)) / ((x2 - x1) * (by2 - by1) - (y2 - y1) * (bx2 - bx1)) AS t FROM hits) SELECT la AS line_a, lb AS line_b, round(x1 + t * (x2 - x1), 3) AS x, round(y1 + t * (y2 - y1), 3) AS y FROM t""",
     "top_17_split": f"""WITH {_CUTS}, own AS (SELECT line_id, count(*) AS n, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS len FROM seg GROUP BY 1), c AS (SELECT l, count(*) AS n FROM (SELECT la AS l FROM hits UNION ALL SELECT lb FROM hits) GROUP BY 1)
 SELECT line_id, own.n + coalesce(c.n, 0) AS edges, round(len, 3) AS length_m FROM own LEFT JOIN c ON l = line_id""",
-    "top_18_nodes": f"WITH {_CUTS}, k AS (SELECT (SELECT count(*) FROM hits WHERE la % 4 = 0) + (SELECT count(DISTINCT (x, y)) FROM lines WHERE line_id % 4 = 0) AS n) SELECT n AS nodes, 0::BIGINT AS first, n - 1 AS last FROM k",
-    "grf_03_stranded": f"WITH {_PIECES}, d AS (SELECT okey, u, v, piece FROM streets JOIN found ON node_id = u WHERE line = 7 AND way_id % 11 = 0) SELECT okey, u, v, piece FROM d WHERE piece NOT IN (SELECT piece FROM d WHERE okey % 997 = 0)",
-    "grf_02_pieces_whole": f"WITH {_WHOLE} SELECT node_id, piece FROM found",
-    "agg_06_largest_whole": f"WITH {_WHOLE} SELECT piece, count(*) AS nodes FROM found GROUP BY 1",
-    "grf_03_stranded_whole": f"WITH {_WHOLE}, d AS (SELECT okey, u, v, piece FROM streets JOIN found ON node_id = u) SELECT okey, u, v, piece FROM d WHERE piece NOT IN (SELECT piece FROM d WHERE okey % 997 = 0)",
-    "cov_05_regions": f"""WITH RECURSIVE {_LINES}, gap AS (SELECT a.k - 15 AS cx, b.k - 15 AS cy FROM range(30) a(k), range(30) b(k) WHERE NOT EXISTS (SELECT 1 FROM lines WHERE floor(x / 10) = a.k - 15 AND floor(y / 10) = b.k - 15)),
-reach(cx, cy, r) AS (SELECT cx, cy, cx * 30 + cy FROM gap UNION SELECT g.cx, g.cy, r FROM reach JOIN gap g ON abs(g.cx - reach.cx) + abs(g.cy - reach.cy) = 1), m AS (SELECT cx, cy, min(r) AS region FROM reach GROUP BY 1, 2) SELECT region, count(*) AS cells FROM m GROUP BY 1""",
+    "top_18_nodes": f"WITH {_CUTS}, k AS (SELECT (SELECT count(*) FROM hits) + (SELECT count(DISTINCT (x, y)) FROM lines) AS n) SELECT n AS nodes, 0::BIGINT AS first, n - 1 AS last FROM k",
+    "grf_03_stranded": f"WITH {_LINE_PIECES} SELECT line_id, piece FROM found WHERE piece NOT IN (SELECT piece FROM found WHERE line_id % 97 = 0)",
+    "cov_05_regions": f"""WITH RECURSIVE {_LINES}, b AS (SELECT min(x) AS w, min(y) AS s, max(x) AS e, max(y) AS n, greatest(sqrt((max(x) - min(x)) * (max(y) - min(y))) / 40, 25.0) AS z FROM lines), g AS (SELECT *, floor((e - w) / z)::BIGINT + 1 AS cols, floor((n - s) / z)::BIGINT + 1 AS rws FROM b),
+hit AS (SELECT DISTINCT floor((x - w) / z)::BIGINT AS cx, floor((y - s) / z)::BIGINT AS cy FROM lines, g), gap AS (SELECT p.k AS cx, q.k AS cy, q.k * cols + p.k AS id FROM g, range(200) p(k), range(200) q(k) WHERE p.k < cols AND q.k < rws AND (p.k, q.k) NOT IN (SELECT (cx, cy) FROM hit)),
+reach(cx, cy, r) AS (SELECT cx, cy, id FROM gap UNION SELECT g.cx, g.cy, r FROM reach JOIN gap g ON (g.cx = reach.cx AND g.cy IN (reach.cy - 1, reach.cy + 1)) OR (g.cy = reach.cy AND g.cx IN (reach.cx - 1, reach.cx + 1))), m AS (SELECT cx, cy, min(r) AS region FROM reach GROUP BY 1, 2) SELECT region, count(*) AS cells FROM m GROUP BY 1""",
 }

@@ -57,9 +57,11 @@ def agg_10_mode_counts(spark, sf_dir):
 
 
 def flt_29_resolve_tags(spark, sf_dir):
-    """Blanket tags fill gaps (maxspeed) or replace (oneway)."""
-    d, _ = _streets(spark, sf_dir)
-    return d.select(*_KEY, F.coalesce("maxspeed", F.lit("20 mph")).alias("filled"), F.lit("no").alias("replaced"))
+    """Blanket tags (20 mph, two-way, lit) fill the blanks of each street, or replace its own."""
+    d, tag = _streets(spark, sf_dir)
+    blanket = {"maxspeed": "20 mph", "oneway": "no", "foot": "yes"}
+    fill, put = tags.resolve(tag, blanket), tags.resolve(tag, blanket, overwrite=True)
+    return d.select(*_KEY, *(fill[k].alias(f"filled_{k}") for k in blanket), *(put[k].alias(f"replaced_{k}") for k in blanket))
 
 
 def flt_30_value_problems(spark, sf_dir):
@@ -111,12 +113,12 @@ def agg_13_week_speeds(spark, sf_dir):
 
 
 def jn_34_override(spark, sf_dir):
-    """Events by week bucket; claimed users keep their own speed, others take the slowest band of residential streets."""
+    """Events by week bucket; claimed users keep their own speed, others take the slowest band of their road class."""
     e = src.table(spark, sf_dir, "events")
     bucket = ((F.dayofweek("ts") - 1) * 288 + F.floor((F.hour("ts") * 60 + F.minute("ts")) / 5)).cast("int")
-    low = agg_13_week_speeds(spark, sf_dir).where("road = 'residential'").select("bucket", "kph")
-    e = e.select("event_id", bucket.alias("bucket"), F.when(F.col("user_id") % 7 == 0, 12.5).alias("own"))
-    return e.join(low, "bucket").select("event_id", "bucket", F.coalesce("own", "kph").alias("kph"))
+    road = F.get(F.array(F.lit("primary"), F.lit("residential"), F.lit("service")), (F.col("user_id") % 3).cast("int"))
+    e = e.select("event_id", bucket.alias("bucket"), road.alias("road"), F.when(F.col("user_id") % 7 == 0, 12.5).alias("own"))
+    return e.join(agg_13_week_speeds(spark, sf_dir), ["road", "bucket"]).select("event_id", "road", "bucket", F.coalesce("own", "kph").alias("kph"))
 
 
 def agg_07_degree(spark, sf_dir):
@@ -178,28 +180,34 @@ def jn_13_new_nodes(spark, sf_dir):
 
 
 def jn_18_integrity(spark, sf_dir):
-    """Streets by whether both ends are known nodes."""
-    n = src.nodes(spark, sf_dir)
-    d = src.streets(spark, sf_dir).withColumn("v", F.col("v") + F.when(F.col("line") == 7, 5).otherwise(0))
-    return d.join(n, d["v"] == n["node_id"], "left_anti").groupBy("v").agg(F.count("*").alias("streets"))
+    """Ends of streets, both of them, that are no known nodes (ends of streets with line 7 are moved on by 5)."""
+    n, move = src.nodes(spark, sf_dir), F.when(F.col("line") == 7, 5).otherwise(0)
+    d = src.streets(spark, sf_dir).select(F.explode(F.array(F.col("u") + move, F.col("v") + move)).alias("end"))
+    return d.join(n, d["end"] == n["node_id"], "left_anti").groupBy("end").agg(F.count("*").alias("streets"))
 
 
 def grf_08_self_loops(spark, sf_dir):
-    li = src.table(spark, sf_dir, "lineitem")
-    return li.where(F.col("l_suppkey") == F.col("l_linenumber")).select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("node_id"))
+    """Streets that end where they start, of all streets."""
+    return src.streets(spark, sf_dir, loops=True).where("u = v").select("okey", "line", F.col("u").alias("node_id"), "way_id")
 
 
-def _sparse(spark, sf_dir):
-    return src.streets(spark, sf_dir).where("line = 7 and way_id % 11 = 0").select("u", "v")
+def grf_02_pieces(spark, sf_dir):
+    """Connected pieces of the network of all streets."""
+    return pieces(src.streets(spark, sf_dir).select("u", "v")).select(F.col("node").alias("node_id"), "piece")
 
 
-def grf_02_pieces(spark, sf_dir):
-    """Connected pieces of a sparse network: bridges' lines of every eleventh way."""
-    return pieces(_sparse(spark, sf_dir)).select(F.col("node").alias("node_id"), "piece")
+def _line_pieces(spark, sf_dir):
+    """(line_id, piece) of every line: lines of one layer that cross are connected, a line alone is a piece by itself."""
+    c = jn_09_crossings(spark, sf_dir).select(F.col("line_a").alias("u"), F.col("line_b").alias("v"))
+    alone = src.lines(spark, sf_dir).select(F.col("line_id").alias("u"), F.col("line_id").alias("v"))
+    return pieces(c.union(alone)).select(F.col("node").alias("line_id"), "piece")
 
 
 def agg_06_largest(spark, sf_dir):
-    return grf_02_pieces(spark, sf_dir).groupBy("piece").agg(F.count("*").alias("nodes"))
+    """Pieces of the lines with their sizes, and which one is the largest (the smallest piece on a tie)."""
+    d = _line_pieces(spark, sf_dir).groupBy("piece").agg(F.count("*").alias("lines"))
+    best = d.agg(F.max(F.struct("lines", (-F.col("piece")).alias("k"))).alias("m")).select((-F.col("m.k")).alias("best"))
+    return d.crossJoin(F.broadcast(best)).select("piece", "lines", (F.col("piece") == F.col("best")).alias("largest"))  # best: one row
 
 
 def way_03_chains(spark, sf_dir):
@@ -215,8 +223,8 @@ def set_01_union(spark, sf_dir):
 
 
 def set_06_difference(spark, sf_dir):
-    used = src.streets(spark, sf_dir).where("highway = 'motorway' and bridge = 'yes'")
-    return src.nodes(spark, sf_dir).select("node_id").exceptAll(used.select(F.col("u").alias("node_id")).distinct())
+    """Terminals (points) that are no nodes of the network."""
+    return src.points(spark, sf_dir).select(F.col("point_id").alias("node_id")).subtract(src.nodes(spark, sf_dir).select("node_id"))
 
 
 def set_07_dedupe(spark, sf_dir):
@@ -225,21 +233,11 @@ def set_07_dedupe(spark, sf_dir):
     return d.groupBy("okey", "line").agg(F.max(F.struct("way_id", "u")).alias("s")).select("okey", "line", "s.way_id", "s.u")
 
 
-def win_06_claims(spark, sf_dir):
-    """Each unordered pair of nodes goes to the street that claims it first."""
-    d = src.streets(spark, sf_dir)
-    return d.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min(F.struct("okey", "line", "way_id")).alias("s"), F.count("*").alias("claims")).select("a", "b", "s.okey", "s.line", "s.way_id", "claims")
-
-
-def edt_01_diff(spark, sf_dir):
-    """Which tags an edit (all 20 mph, both ways) changes or deletes."""
-    d, _ = _streets(spark, sf_dir)
-    return d.select(*_KEY, F.when(F.coalesce(F.col("maxspeed") != "20 mph", F.lit(True)), "20 mph").alias("set_maxspeed"), F.col("oneway").isNotNull().alias("drops_oneway"))
-
-
 def cov_03_crossed(spark, sf_dir, size: float = 25.0):
-    """Grid cells that vertices of lines lie in."""
-    return src.lines(spark, sf_dir).groupBy(geom.cell(F.col("x"), size).alias("cx"), geom.cell(F.col("y"), size).alias("cy")).agg(F.count("*").alias("vertices"))
+    """Grid cells that lines pass through, and how many segments of them."""
+    xy = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    d = win_03_segments(spark, sf_dir).select("line_id", "pos", F.explode(geom.cells_along(*xy, size, 0.0)).alias("c"))
+    return d.groupBy("c.cx", "c.cy").agg(F.count("*").alias("segments"))
 
 
 def scl_16_turn_direction(spark, sf_dir):
@@ -248,4 +246,4 @@ def scl_16_turn_direction(spark, sf_dir):
     return d.withColumn("before", F.lag("h").over(w)).where("before is not null").select("line_id", geom.turn_direction(F.col("before"), F.col("h")).alias("turn"))
 
 
-QUERIES = {f.__name__: f for f in (qgs_01, flt_12_separated, flt_22_effective_access, flt_24_usable_modes, flt_29_resolve_tags, flt_30_value_problems, agg_10_mode_counts, scl_03_listed_keys, scl_04_maxspeed, scl_05_car_speed, scl_06_duration, scl_07_direction, win_04_buckets, agg_13_week_speeds, jn_34_override, agg_07_degree, agg_09_line_length, agg_12_summary, win_01_ends, win_03_lengths, jn_09_crossings, jn_01_snap_nodes, jn_13_new_nodes, jn_18_integrity, grf_08_self_loops, grf_02_pieces, agg_06_largest, way_03_chains, set_01_union, set_06_difference, set_07_dedupe, win_06_claims, edt_01_diff, cov_03_crossed, scl_16_turn_direction)}
+QUERIES = {f.__name__: f for f in (qgs_01, flt_12_separated, flt_22_effective_access, flt_24_usable_modes, flt_29_resolve_tags, flt_30_value_problems, agg_10_mode_counts, scl_03_listed_keys, scl_04_maxspeed, scl_05_car_speed, scl_06_duration, scl_07_direction, win_04_buckets, agg_13_week_speeds, jn_34_override, agg_07_degree, agg_09_line_length, agg_12_summary, win_01_ends, win_03_lengths, jn_09_crossings, jn_01_snap_nodes, jn_13_new_nodes, jn_18_integrity, grf_08_self_loops, grf_02_pieces, agg_06_largest, way_03_chains, set_01_union, set_06_difference, set_07_dedupe, cov_03_crossed, scl_16_turn_direction)}

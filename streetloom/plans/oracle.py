@@ -33,7 +33,8 @@ _POINTS = "points AS (SELECT c_custkey AS point_id, (c_custkey * 37 % 1000)::DOU
 _NEAR = f"{_NODES}, {_POINTS}, near AS (SELECT point_id, node_id, n.x AS nx, n.y AS ny, sqrt((n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y)) AS away FROM points p JOIN nodes n ON n.x BETWEEN p.x - 40 AND p.x + 40 AND n.y BETWEEN p.y - 40 AND p.y + 40)"
 _ENDS = "JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v"
 _LENGTH = "sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))"
-_PIECES = f"""RECURSIVE {_STREETS}, e AS (SELECT u, v FROM streets WHERE line = 7 AND way_id % 11 = 0), s AS (SELECT DISTINCT u, v FROM (SELECT u, v FROM e UNION ALL SELECT v, u FROM e)),
+_ALL_STREETS = _STREETS.replace(" WHERE u <> v)", ")")
+_PIECES = f"""RECURSIVE {_STREETS}, s AS (SELECT DISTINCT u, v FROM (SELECT u, v FROM streets UNION ALL SELECT v, u FROM streets)),
  reach(node_id, r) AS (SELECT u, u FROM s UNION SELECT s.v, reach.r FROM reach JOIN s ON s.u = reach.node_id), found AS (SELECT node_id, min(r) AS piece FROM reach GROUP BY node_id)"""
 _KEY = "okey, line, u, v, way_id"
 _CROSS = "(({0}x2 - {0}x1) * ({1} - {0}y1) - ({0}y2 - {0}y1) * ({2} - {0}x1))"
@@ -43,6 +44,11 @@ def _side(s: str, t: str, k: int) -> str:
     return _CROSS.format(f"{s}.", f"{t}.y{k}", f"{t}.x{k}")
 
 
+_LINE_PIECES = f"""RECURSIVE {_SEGMENTS}, c AS (SELECT DISTINCT a.line_id AS u, b.line_id AS v FROM seg a JOIN seg b ON a.line_id % 4 = b.line_id % 4 AND a.line_id <> b.line_id
+ AND {_side('a', 'b', 1)} * {_side('a', 'b', 2)} < 0 AND {_side('b', 'a', 1)} * {_side('b', 'a', 2)} < 0),
+ reach(n, r) AS (SELECT DISTINCT line_id, line_id FROM lines UNION SELECT c.v, reach.r FROM reach JOIN c ON c.u = reach.n), found AS (SELECT n AS line_id, min(r) AS piece FROM reach GROUP BY n)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "qgs_01": f"""WITH {_NODES}, {_STREETS}, e AS (SELECT *, {_LENGTH} AS len, {_SPEED} AS speed FROM streets {_ENDS})
 SELECT {_KEY}, {_DRIVE} AS car, coalesce({_BIKE}, false) AS bike, coalesce({_WALK}, false) AS walk, round(speed, 1) AS speed_kph, round(len, 2) AS length_m, round(len / 1000 / speed * 60, 4) AS car_minutes,
@@ -52,7 +58,7 @@ SELECT {_KEY}, {_DRIVE} AS car, coalesce({_BIKE}, false) AS bike, coalesce({_WAL
  CASE WHEN bicycle IS NOT NULL THEN 'bicycle' WHEN access IS NOT NULL THEN 'access' END AS bike_key, coalesce(bicycle, access) AS bike_value, CASE WHEN foot IS NOT NULL THEN 'foot' WHEN access IS NOT NULL THEN 'access' END AS walk_key, coalesce(foot, access) AS walk_value FROM streets""",
     "flt_24_usable_modes": f"WITH {_STREETS} SELECT {_KEY}, {_MODES} AS modes FROM streets",
     "agg_10_mode_counts": f"WITH {_STREETS} SELECT {_MODES} AS modes, count(*) AS n FROM streets GROUP BY 1",
-    "flt_29_resolve_tags": f"WITH {_STREETS} SELECT {_KEY}, coalesce(maxspeed, '20 mph') AS filled, 'no' AS replaced FROM streets",
+    "flt_29_resolve_tags": f"WITH {_STREETS} SELECT {_KEY}, coalesce(maxspeed, '20 mph') AS filled_maxspeed, coalesce(oneway, 'no') AS filled_oneway, coalesce(foot, 'yes') AS filled_foot, '20 mph' AS replaced_maxspeed, 'no' AS replaced_oneway, 'yes' AS replaced_foot FROM streets",
     "flt_30_value_problems": r"""WITH p AS (SELECT page_id, regexp_extract(url, '(\d+)', 1) AS maxspeed, regexp_extract(url, '/([a-z]{2})/', 1) AS oneway, regexp_extract(url, 'page=(.*)$', 1) AS lanes, '1.5' AS layer FROM pages)
 SELECT page_id, concat_ws(';', CASE WHEN NOT regexp_matches(maxspeed, '^\s*\d+(\.\d+)?\s*(mph|knots)?\s*$') THEN 'maxspeed' END, CASE WHEN lower(oneway) NOT IN ('yes', 'no', 'true', 'false', '1', '0', '-1', 'reverse') THEN 'oneway' END,
  CASE WHEN NOT regexp_matches(lanes, '^[1-9]\d*$') THEN 'lanes' END, CASE WHEN NOT regexp_matches(layer, '^-?\d+$') THEN 'layer' END) AS problems FROM p WHERE maxspeed IS NOT NULL
@@ -66,8 +72,8 @@ SELECT maxspeed, n, round(CASE WHEN own IS NULL THEN 30 * 1.609344::DOUBLE ELSE
     "scl_07_direction": f"WITH {_STREETS} SELECT oneway, {_DIRECTION} AS direction, count(*) AS n FROM streets GROUP BY 1, 2",
     "win_04_buckets": f"WITH {_BUCKETS} SELECT name, bucket FROM buckets",
     "agg_13_week_speeds": f"WITH {_WEEK} SELECT road, bucket, kph FROM week",
-    "jn_34_override": f"""WITH {_WEEK}, e AS (SELECT event_id, user_id, (extract(dow FROM ts) * 288 + (extract(hour FROM ts) * 60 + extract(minute FROM ts)) // 5)::INT AS bucket FROM events)
-SELECT event_id, e.bucket, CASE WHEN user_id % 7 = 0 THEN 12.5 ELSE kph END AS kph FROM e JOIN week w ON w.bucket = e.bucket AND road = 'residential'""",
+    "jn_34_override": f"""WITH {_WEEK}, e AS (SELECT event_id, user_id, ['primary', 'residential', 'service'][user_id % 3 + 1] AS road, (extract(dow FROM ts) * 288 + (extract(hour FROM ts) * 60 + extract(minute FROM ts)) // 5)::INT AS bucket FROM events)
+SELECT event_id, e.road, e.bucket, CASE WHEN user_id % 7 = 0 THEN 12.5 ELSE kph END AS kph FROM e JOIN week w ON w.bucket = e.bucket AND w.road = e.road""",
     "agg_07_degree": f"WITH {_STREETS} SELECT u AS node_id, count(DISTINCT v) AS degree FROM (SELECT u, v FROM streets UNION ALL SELECT v, u FROM streets) GROUP BY 1",
     "agg_09_line_length": f"WITH {_NODES}, {_STREETS} SELECT way_id, round(sum({_LENGTH}), 3) AS length_m, count(*) AS streets FROM streets {_ENDS} GROUP BY 1",
     "agg_12_summary": f"WITH {_STREETS} SELECT count(*) AS streets, count(DISTINCT way_id) AS ways, count(oneway) AS directed, count(*) FILTER (WHERE highway = 'motorway' OR bridge IS NOT NULL) AS separated, count(*) FILTER (WHERE maxspeed IS NULL) AS without_speed FROM streets",
@@ -77,17 +83,16 @@ SELECT event_id, e.bucket, CASE WHEN user_id % 7 = 0 THEN 12.5 ELSE kph END AS k
  AND {_side('a', 'b', 1)} * {_side('a', 'b', 2)} < 0 AND {_side('b', 'a', 1)} * {_side('b', 'a', 2)} < 0""",
     "jn_01_snap_nodes": f"WITH {_NEAR} SELECT point_id, node_id, nx AS x, ny AS y FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY away, node_id) AS k FROM near WHERE away <= 40) WHERE k = 1",
     "jn_13_new_nodes": f"WITH {_NEAR} SELECT * FROM points p WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.point_id = p.point_id AND away <= 40)",
-    "jn_18_integrity": f"WITH {_NODES}, {_STREETS}, d AS (SELECT v + CASE WHEN line = 7 THEN 5 ELSE 0 END AS v FROM streets) SELECT v, count(*) AS streets FROM d WHERE v NOT IN (SELECT node_id FROM nodes) GROUP BY 1",
-    "grf_08_self_loops": "SELECT l_orderkey AS okey, l_linenumber AS line, l_suppkey AS node_id FROM lineitem WHERE l_suppkey = l_linenumber",
+    "jn_18_integrity": f"""WITH {_NODES}, {_STREETS}, d AS (SELECT u + CASE WHEN line = 7 THEN 5 ELSE 0 END AS "end" FROM streets UNION ALL SELECT v + CASE WHEN line = 7 THEN 5 ELSE 0 END FROM streets) SELECT "end", count(*) AS streets FROM d WHERE "end" NOT IN (SELECT node_id FROM nodes) GROUP BY 1""",
+    "grf_08_self_loops": f"WITH {_ALL_STREETS} SELECT okey, line, u AS node_id, way_id FROM streets WHERE u = v",
     "grf_02_pieces": f"WITH {_PIECES} SELECT node_id, piece FROM found",
-    "agg_06_largest": f"WITH {_PIECES} SELECT piece, count(*) AS nodes FROM found GROUP BY 1",
+    "agg_06_largest": f"WITH {_LINE_PIECES}, n AS (SELECT piece, count(*) AS lines FROM found GROUP BY 1) SELECT piece, lines, row_number() OVER (ORDER BY lines DESC, piece) = 1 AS largest FROM n",
     "way_03_chains": f"WITH {_STREETS} SELECT way_id, string_agg(u::VARCHAR || '-' || v::VARCHAR, ';' ORDER BY okey, line, u, v) AS chain FROM streets GROUP BY 1",
     "set_01_union": f"WITH {_STREETS}, {_LINES} SELECT highway, custom, count(*) AS n, sum(u)::BIGINT AS sum_u FROM (SELECT u, highway, NULL AS custom FROM streets UNION ALL SELECT line_id, NULL, 'yes' FROM lines) GROUP BY 1, 2",
-    "set_06_difference": f"WITH {_NODES}, {_STREETS} SELECT node_id FROM nodes EXCEPT SELECT u FROM streets WHERE highway = 'motorway' AND bridge = 'yes'",
+    "set_06_difference": f"WITH {_NODES} SELECT c_custkey AS node_id FROM customer WHERE c_custkey NOT IN (SELECT node_id FROM nodes)",
     "set_07_dedupe": f"WITH {_STREETS} SELECT okey, line, way_id, u FROM (SELECT *, row_number() OVER (PARTITION BY okey, line ORDER BY way_id DESC, u DESC) AS k FROM streets) WHERE k = 1",
-    "win_06_claims": f"WITH {_STREETS} SELECT a, b, okey, line, way_id, claims FROM (SELECT least(u, v) AS a, greatest(u, v) AS b, *, row_number() OVER (PARTITION BY least(u, v), greatest(u, v) ORDER BY okey, line, way_id) AS k, count(*) OVER (PARTITION BY least(u, v), greatest(u, v)) AS claims FROM streets) WHERE k = 1",
-    "edt_01_diff": f"WITH {_STREETS} SELECT {_KEY}, CASE WHEN maxspeed IS DISTINCT FROM '20 mph' THEN '20 mph' END AS set_maxspeed, oneway IS NOT NULL AS drops_oneway FROM streets",
-    "cov_03_crossed": f"WITH {_LINES} SELECT floor(x / 25.0)::BIGINT AS cx, floor(y / 25.0)::BIGINT AS cy, count(*) AS vertices FROM lines GROUP BY 1, 2",
+    "cov_03_crossed": f"""WITH {_SEGMENTS}, c AS (SELECT *, unnest(range(floor(least(x1, x2) / 25)::BIGINT, floor(greatest(x1, x2) / 25)::BIGINT + 1)) AS cx FROM seg), d AS (SELECT *, unnest(range(floor(least(y1, y2) / 25)::BIGINT, floor(greatest(y1, y2) / 25)::BIGINT + 1)) AS cy FROM c)
+SELECT cx, cy, count(*) AS segments FROM d WHERE abs((x2 - x1) * (cy * 25 + 12.5 - y1) - (y2 - y1) * (cx * 25 + 12.5 - x1)) <= (abs(x2 - x1) + abs(y2 - y1)) * 12.5 GROUP BY 1, 2""",
     "scl_16_turn_direction": f"""WITH {_SEGMENTS}, h AS (SELECT line_id, pos, degrees(atan2(y2 - y1, x2 - x1)) AS h FROM seg), t AS (SELECT line_id, h - lag(h) OVER (PARTITION BY line_id ORDER BY pos) AS d FROM h),
 n AS (SELECT line_id, d - 360 * floor((d + 180) / 360) AS d FROM t WHERE d IS NOT NULL) SELECT line_id, CASE WHEN abs(d) < 35 THEN 'straight' WHEN abs(d) > 150 THEN 'u_turn' WHEN d > 0 THEN 'left' ELSE 'right' END AS turn FROM n""",
 }

@@ -23,8 +23,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(s.alias("node_id"), ((s % 10) * 100).cast("double").alias("x"), (F.floor(s / 10) * 100).cast("double").alias("y"))
 
 
-def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a street: order key and line, u, v, way_id and tag columns; u = v is left out."""
+def streets(spark: SparkSession, sf_dir: str, loops: bool = False) -> DataFrame:
+    """One row a street: order key and line, u, v, way_id and tag columns; u = v is left out, unless loops are wanted."""
     li, part, orders = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
     size = table(spark, sf_dir, "supplier").agg(F.count("*").alias("size"))  # one row
     d = li.join(part, li["l_partkey"] == part["p_partkey"]).join(orders, li["l_orderkey"] == orders["o_orderkey"]).crossJoin(F.broadcast(size))
@@ -36,7 +36,7 @@ def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", F.concat(F.col("p_size").cast("string"), F.lit(" mph"))).when(F.col("l_returnflag") == "R", F.col("p_size").cast("string")).alias("maxspeed"),
         F.when(n % 3 == 0, "yes").when(n % 5 == 0, "-1").alias("oneway"), F.when(first == "1", "private").alias("access"), F.when(first == "2", "no").alias("motor_vehicle"),
         F.when(first == "3", "designated").alias("bicycle"), F.when(first == "4", "yes").alias("foot"), F.when((F.col("l_linestatus") == "O") & (n == 7), "yes").alias("bridge"), (n % 2).cast("string").alias("layer"))
-    return out.where("u <> v")
+    return out if loops else out.where("u <> v")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

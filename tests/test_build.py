@@ -85,3 +85,21 @@ def test_nothing_tiny_and_wrong(spark):
     assert len(run(spark, [[(0, 0), (0.2, 0)]])[0]) == 25
     with pytest.raises(ValueError):
         run(spark, [], grid=False, join_at="streets")
+
+
+def test_pieces_by_star_steps(spark):
+    import random
+
+    from streetloom.operators.graph import pieces
+
+    rng = random.Random(3)
+    e = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(20)] + [(None, 1), (300, 300)]
+    d = spark.createDataFrame(e, "u long, v long")
+    up = {x: x for p in e if None not in p for x in p}
+    for _ in up:
+        for a, b in e:
+            if a is not None:
+                up[a] = up[b] = min(up[a], up[b])
+    for limit in (0, 10**6):
+        assert {r.node: r.piece for r in pieces(d, limit).collect()} == up
+    assert pieces(d.limit(0)).count() == 0
