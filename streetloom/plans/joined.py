@@ -123,9 +123,9 @@ def top_18_nodes(spark, sf_dir):
 
 
 def grf_03_stranded(spark, sf_dir):
-    """Lines of pieces that hold none of the existing ones (here those with ids divisible by 97)."""
+    """Lines of pieces that hold none of the existing ones (here those with even ids)."""
     p = _line_pieces(spark, sf_dir)
-    return p.join(p.where("line_id % 97 = 0").select("piece").distinct(), "piece", "left_anti").select("line_id", "piece")
+    return p.join(p.where("line_id % 2 = 0").select("piece").distinct(), "piece", "left_anti").select("line_id", "piece")
 
 
 def cov_05_regions(spark, sf_dir):
@@ -171,7 +171,7 @@ SELECT point_id, round(min(away), 6) AS away FROM d GROUP BY 1 HAVING round(min(
     "top_17_split": f"""WITH {_CUTS}, own AS (SELECT line_id, count(*) AS n, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS len FROM seg GROUP BY 1), c AS (SELECT l, count(*) AS n FROM (SELECT la AS l FROM hits UNION ALL SELECT lb FROM hits) GROUP BY 1)
 SELECT line_id, own.n + coalesce(c.n, 0) AS edges, round(len, 3) AS length_m FROM own LEFT JOIN c ON l = line_id""",
     "top_18_nodes": f"WITH {_CUTS}, k AS (SELECT (SELECT count(*) FROM hits) + (SELECT count(DISTINCT (x, y)) FROM lines) AS n) SELECT n AS nodes, 0::BIGINT AS first, n - 1 AS last FROM k",
-    "grf_03_stranded": f"WITH {_LINE_PIECES} SELECT line_id, piece FROM found WHERE piece NOT IN (SELECT piece FROM found WHERE line_id % 97 = 0)",
+    "grf_03_stranded": f"WITH {_LINE_PIECES} SELECT line_id, piece FROM found WHERE piece NOT IN (SELECT piece FROM found WHERE line_id % 2 = 0)",
     "cov_05_regions": f"""WITH RECURSIVE {_LINES}, b AS (SELECT min(x) AS w, min(y) AS s, max(x) AS e, max(y) AS n, greatest(sqrt((max(x) - min(x)) * (max(y) - min(y))) / 40, 25.0) AS z FROM lines), g AS (SELECT *, floor((e - w) / z)::BIGINT + 1 AS cols, floor((n - s) / z)::BIGINT + 1 AS rws FROM b),
 hit AS (SELECT DISTINCT floor((x - w) / z)::BIGINT AS cx, floor((y - s) / z)::BIGINT AS cy FROM lines, g), gap AS (SELECT p.k AS cx, q.k AS cy, q.k * cols + p.k AS id FROM g, range(200) p(k), range(200) q(k) WHERE p.k < cols AND q.k < rws AND (p.k, q.k) NOT IN (SELECT (cx, cy) FROM hit)),
 reach(cx, cy, r) AS (SELECT cx, cy, id FROM gap UNION SELECT g.cx, g.cy, r FROM reach JOIN gap g ON (g.cx = reach.cx AND g.cy IN (reach.cy - 1, reach.cy + 1)) OR (g.cy = reach.cy AND g.cx IN (reach.cx - 1, reach.cx + 1))), m AS (SELECT cx, cy, min(r) AS region FROM reach GROUP BY 1, 2) SELECT region, count(*) AS cells FROM m GROUP BY 1""",
