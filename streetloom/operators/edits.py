@@ -54,12 +54,21 @@ def oneway_state(value: Column, junction: Column | None = None) -> Column:
     return F.when(value.isNull() & F.coalesce(junction.isin("roundabout", "circular"), F.lit(False)), "forward").otherwise(state)
 
 
+def kept(d: DataFrame, name: str, value: Column) -> DataFrame:
+    """d with a column whose expression is worked out once a row, not again wherever it is named later."""
+    return d.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _parts(line: Column) -> Column:
     """Segments of a line: x1, y1, x2, y2, length, and how far along the line each starts."""
-    flat = F.transform(F.sequence(F.lit(0), F.size(line) - 2), lambda i: F.struct(
-        F.get(line, i)["x"].alias("x1"), F.get(line, i)["y"].alias("y1"), F.get(line, i + 1)["x"].alias("x2"), F.get(line, i + 1)["y"].alias("y2")))
-    flat = F.transform(flat, lambda s: s.withField("length", geom.distance(s["x1"], s["y1"], s["x2"], s["y2"])))
-    return F.transform(flat, lambda s, i: s.withField("start", F.aggregate(F.slice(flat, 1, i), F.lit(0.0), lambda a, b: a + b["length"])))
+    def add(acc: Column, i: Column) -> Column:
+        a, b = F.get(line, i), F.get(line, i + 1)
+        length = geom.distance(a["x"], a["y"], b["x"], b["y"])
+        one = F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"), length.alias("length"), acc["total"].alias("start"))
+        return F.struct((acc["total"] + length).alias("total"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double,length:double,start:double>>")
+    return F.aggregate(F.sequence(F.lit(0), F.size(line) - 2), F.struct(F.lit(0.0).alias("total"), none.alias("out")), add, lambda acc: acc["out"])
 
 
 def located(parts: Column, x: Column, y: Column) -> Column:
@@ -87,13 +96,18 @@ def heading(parts: Column, along: Column) -> Column:
 def covered(streets: DataFrame, nodes: DataFrame, edits: DataFrame, tolerance: float) -> DataFrame:
     """(number, street_id, away): streets of an edit's way whose middle is in reach of its line and that run along it there."""
     n = nodes.select("node_id", "x", "y")
-    d = edits.select("number", "way_id", _parts(F.col("line")).alias("parts")).join(streets.select("street_id", "way_id", "u", "v"), "way_id")
-    d = d.join(n.toDF("u", "x1", "y1"), "u").join(n.toDF("v", "x2", "y2"), "v")
-    d = d.withColumn("at", located(F.col("parts"), (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2)).where(F.col("at.away") <= tolerance)
-    d = d.withColumns({"h": heading(F.col("parts"), F.col("at.along")), "dx": F.col("x2") - F.col("x1"), "dy": F.col("y2") - F.col("y1")})
+    edge = lambda pick, c: pick(F.transform("line", lambda p: p[c]))
+    box = [edge(f, c).alias(f"{n}_{c}") for n, f in (("low", F.array_min), ("high", F.array_max)) for c in ("x", "y")]
+    middle = [((F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(f"m{c}") for c in ("x", "y")]
+    s = streets.select("street_id", "way_id", "u", "v").join(n.toDF("u", "x1", "y1"), "u").join(n.toDF("v", "x2", "y2"), "v").select("street_id", "way_id", "x1", "y1", "x2", "y2", *middle)
+    # only streets whose middle is in the edit's box are measured
+    inside = [F.col(f"m{c}").between(F.col(f"low_{c}") - tolerance, F.col(f"high_{c}") + tolerance) for c in ("x", "y")]
+    d = edits.select("number", "way_id", "line", *box).join(s, "way_id").where(inside[0] & inside[1])
+    d = kept(kept(d, "parts", _parts(F.col("line"))), "at", located(F.col("parts"), F.col("mx"), F.col("my"))).where(F.col("at.away") <= tolerance)
+    d = kept(d, "h", heading(F.col("parts"), F.col("at.along"))).withColumns({"dx": F.col("x2") - F.col("x1"), "dy": F.col("y2") - F.col("y1")})
     dot = F.abs(F.col("h.dx") * F.col("dx") + F.col("h.dy") * F.col("dy"))
     size = F.sqrt((F.col("h.dx") ** 2 + F.col("h.dy") ** 2) * (F.col("dx") ** 2 + F.col("dy") ** 2))
-    return d.where((size > 0) & (dot >= size * math.cos(math.radians(MAX_ANGLE)))).select("number", "street_id", F.col("at.away").alias("away"))
+    return d.where((size > 0) & (dot >= size * (math.cos(math.radians(MAX_ANGLE)) - 1e-9))).select("number", "street_id", F.col("at.away").alias("away"))
 
 
 def way_steps(ways: DataFrame) -> DataFrame:
@@ -115,7 +129,7 @@ def votes(streets: DataFrame, nodes: DataFrame, edits: DataFrame, steps: DataFra
     """(number, along): whether each edit is drawn the way's own way. Every covered step votes: is its first quarter before its last."""
     n = nodes.select("node_id", "x", "y")
     d = cover.join(_along_way(streets, steps).where("along is not null").select("street_id", F.when(F.col("along"), F.col("u")).otherwise(F.col("v")).alias("a"), F.when(F.col("along"), F.col("v")).otherwise(F.col("u")).alias("b")), "street_id")
-    d = d.select("number", "a", "b").distinct().join(edits.select("number", _parts(F.col("line")).alias("parts")), "number")
+    d = d.select("number", "a", "b").distinct().join(kept(edits.select("number", "line"), "parts", _parts(F.col("line"))), "number")
     d = d.join(n.toDF("a", "x1", "y1"), "a").join(n.toDF("b", "x2", "y2"), "b")
     at = lambda t: located(F.col("parts"), F.col("x1") + t * (F.col("x2") - F.col("x1")), F.col("y1") + t * (F.col("y2") - F.col("y1")))["along"]
     return d.groupBy("number").agg((F.sum(F.signum(at(0.75) - at(0.25))) >= 0).alias("along"))
