@@ -19,9 +19,11 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where it is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir, or an own one where it is unset (local runs only)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = _own_dir.setdefault("at", "file://" + tempfile.mkdtemp(prefix="streetloom-"))
     return where.rstrip("/")
 

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import math
 import re
 import zlib
 
@@ -70,6 +71,27 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, BPE, 64).count() == 0
 
 
+def test_packed_pieces_are_the_documents_ids(docs):
+    """start, length and crc32 of every piece against the whole ids cut by hand, and sequences against the least number possible."""
+    rows = packing.pack_documents(docs, BPE, 64).collect()
+    want = []
+    for i, t in TEXTS:
+        raw = ids_of(t)
+        n, at = len(raw) // 4, 0
+        size = (n - 1) % 64 + 1
+        while at < n:
+            want.append((i, at, size, zlib.crc32(raw[4 * at: 4 * (at + size)])))
+            at, size = at + size, 64
+    none = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(none((r.doc_id, r.start, r.length, r.ids_crc32)) for r in rows) == sorted(map(none, want))
+    pieces_of = {}
+    for r in rows:
+        pieces_of.setdefault((r.doc_id, r.start), set()).add(r.piece)
+    assert all(r.piece == -(-r.start // 64) for r in rows)
+    least = -(-sum(r.length for r in rows) // 64)
+    assert least <= len({r.sequence_id for r in rows}) <= least + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(4, 40), st.lists(st.integers(1, 40), max_size=60))
 def test_plan_holds_all_items(capacity, sizes):
@@ -143,6 +165,21 @@ def test_sharding(docs, empty):
     assert sharding.shard_rows(empty, 4).count() == 0
 
 
+def test_shards_are_the_highest_scores(spark):
+    """The winner of each key by hand: md5 and a logarithm, weighted, with one more shard too."""
+    def winner(key, weights):
+        def score(k):
+            u = (int(hashlib.md5(f"{key}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            return -weights[k] / math.log(u)
+        return max(range(len(weights)), key=lambda k: (score(k), -k))
+
+    d = spark.createDataFrame([(i, "x") for i in range(300)] + [(None, "x")], "doc_id long, text string")
+    for weights in ([1.0] * 8, [1.0, 3.0, 0.5]):
+        for r in sharding.shard_rows(d, weights).collect():
+            key = "" if r.doc_id is None else r.doc_id
+            assert (r.shard, r.grown_shard) == (winner(key, weights), winner(key, [*weights, 1.0]))
+
+
 def test_shard_weights(spark):
     d = spark.range(4000).selectExpr("id as doc_id", "'' as text")
     n = {r[0]: r[1] for r in sharding.shard_rows(d, [1, 3]).groupBy("shard").count().collect()}
@@ -487,6 +524,29 @@ def test_language_of_odd_tables(spark):
     assert language.keep_known_language(d).columns == d.columns and language.keep_known_language(d).count() == len(rows) - 1
 
 
+def test_stages_on_odd_tables(spark, docs, empty, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns, empty tables: each stage's rows by hand."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 0), (6, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda r: (-1 if r[0] is None else r[0], r[1] or "")
+    rows = lambda d: sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in d.collect())
+    lettered = [r for r in TEXTS if r[1] and re.search(r"[^\W\d_]", r[1])]
+    assert rows(stages["language_id"](spark, docs, str(tmp_path))) == sorted(map(key, lettered))
+    assert rows(stages["toxicity"](spark, docs, str(tmp_path))) == sorted(map(key, TEXTS))  # one class only: nothing is learned
+    best = {}
+    for i, t in sorted(TEXTS, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0])):
+        best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), (i, t))
+    assert rows(stages["exact_dedup"](spark, docs, str(tmp_path))) == sorted(map(key, best.values()))
+    near = rows(stages["simhash_neardup"](spark, docs, str(tmp_path)))
+    wordless = sorted(i for i, t in TEXTS if not (t or "").split())
+    assert [i for i, t in near if not t.split()] == wordless[:1] and sum(i in (6, 7) for i, _ in near) == 1 and sum(i == 8 for i, _ in near) == 1
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == empty.columns)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
