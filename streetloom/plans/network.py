@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geom, tags
 from ..operators.build import crossings
-from ..operators.graph import pieces
+from ..operators.graph import _written, pieces
 from ..sources import derived as src
 
+#: Tags that the access rules read.
+_READ = [*dict.fromkeys(["highway", "route", "motorroad", *(k for keys in tags.ACCESS.values() for k in keys), *(k for rule in tags.EXCLUDED.values() for k in rule)])]
 _KEY = ("okey", "line", "u", "v", "way_id")
 
 
@@ -25,14 +27,26 @@ def _with_ends(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
     return d.join(a, "u").join(b, "v")
 
 
+#: Combinations of tags that are broadcast at most (under 10 MB); more of them meet the streets in a shuffle.
+MOST_SENT = 50_000
+
+
+def by_combination(d: DataFrame, read: list[str], **rules) -> DataFrame:
+    """d with the rules' columns, each worked out once for every combination of the tags that it reads."""
+    there = [c for c in read if c in d.columns]
+    combos = _written(d.select(*there).distinct().select(*(F.col(c).alias(f"_{c}") for c in there), *(c.alias(n) for n, c in rules.items())))
+    sent = F.broadcast(combos) if combos.count() <= MOST_SENT else combos
+    return d.join(sent, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in there], "left").drop(*(f"_{c}" for c in there))
+
+
 def qgs_01(spark, sf_dir):
     """Analysis edges: who may use a street, how fast, which way, how long it takes."""
     d, tag = _streets(spark, sf_dir)
+    d = by_combination(d, _READ, **{n: tags.allows_mode(tag, m) for n, m in (("car", "drive"), ("bike", "bike"), ("walk", "walk"))})
     d = _with_ends(spark, sf_dir, d)
     length = geom.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     speed = tags.car_speed_kph(tag)
-    return d.select(*_KEY, tags.allows_mode(tag, "drive").alias("car"), tags.allows_mode(tag, "bike").alias("bike"), tags.allows_mode(tag, "walk").alias("walk"),
-                    F.round(speed, 1).alias("speed_kph"), F.round(length, 2).alias("length_m"), F.round(length / 1000 / speed * 60, 4).alias("car_minutes"),
+    return d.select(*_KEY, "car", "bike", "walk", F.round(speed, 1).alias("speed_kph"), F.round(length, 2).alias("length_m"), F.round(length / 1000 / speed * 60, 4).alias("car_minutes"),
                     F.round(length / 1000 / tags.BIKE_KPH * 60, 4).alias("bike_minutes"), F.round(length / 1000 / tags.WALK_KPH * 60, 4).alias("walk_minutes"), tags.direction(F.col("oneway")).alias("car_direction"))
 
 
@@ -49,7 +63,7 @@ def flt_22_effective_access(spark, sf_dir):
 
 def flt_24_usable_modes(spark, sf_dir):
     d, tag = _streets(spark, sf_dir)
-    return d.select(*_KEY, F.array_join(tags.usable_modes(tag), ";").alias("modes"))
+    return by_combination(d, _READ, modes=F.array_join(tags.usable_modes(tag), ";")).select(*_KEY, "modes")
 
 
 def agg_10_mode_counts(spark, sf_dir):
