@@ -1,4 +1,4 @@
-"""Command line: build, check, presets. Exit codes: 0 done, 2 wrong arguments, 3 input that can't be used."""
+"""Command line: build, check, presets. Exit codes: 0 done, 1 other errors, 2 wrong arguments, 3 input that can't be used, 5 a network that breaks a rule."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import api
+from .errors import StreetloomError
 from .functions import tags
 
 
@@ -57,9 +58,9 @@ def main(argv: list[str] | None = None) -> int:
         net = api.build_files(spark, args.custom, args.out, args.osm, blanket=blanket, overwrite=args.overwrite_tags, snap_tolerance=args.snap_tolerance, join_at=args.join_at, strict=not args.lenient)
         emit(event="done", nodes=net.nodes.count(), edges=net.edges.count(), custom=net.edges.where("custom").count(), out=args.out)
         return 0
-    except api.InputError as e:
-        emit(event="error", type="InputError", message=str(e))
-        return 3
+    except StreetloomError as e:
+        emit(event="error", type=type(e).__name__, message=str(e), issues=e.issues)
+        return e.exit_code
 
 
 if __name__ == "__main__":

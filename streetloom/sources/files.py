@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import InputError
 from ..functions import tags, traffic
 
 _TAGS = "tag array<struct<_k: string, _v: string>>"
@@ -16,10 +17,6 @@ _TAGS = "tag array<struct<_k: string, _v: string>>"
 ROUTES = ("bicycle", "bus", "foot", "hiking", "mtb")
 
 
-class InputError(ValueError):
-    """A file, setting or table that can't be used."""
-
-
 @dataclass(frozen=True)
 class Osm:
     """nodes: node_id, lon, lat, tags. ways: way_id, refs, tags. relations: rel_id, tags, members (type, ref, role)."""
