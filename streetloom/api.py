@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import projection, tags
 from .operators.build import build, numbered
+from .operators.relations import rewrite
 from .sinks.files import chains, line_ways, write_osm_xml
-from .sources.files import InputError, Osm, read_geojson, read_osm_xml, steps
+from .sources.files import InputError, Osm, keeps_relation, read_geojson, read_osm_xml, steps
 
 # Presets of tags for drawn lines.
 PRESETS = {
@@ -32,7 +33,10 @@ class Network:
     source: Osm | None
 
     def write_osm(self, path: str) -> None:
-        """OSM XML: existing ways as they are but for the nodes that cuts put in, drawn lines as new ways."""
+        """OSM XML: existing ways as they are but for the nodes that cuts put in, drawn lines as new ways.
+
+        Restrictions and routes that still make sense are written on what their ways became.
+        """
         mine = self.edges.where("custom")
         ways = line_ways(mine, self.line_tags.select("line_id", "tags"))
         nodes = self.nodes.select("node_id", "lon", "lat")
@@ -49,7 +53,10 @@ class Network:
             ways = ways.withColumn("way_id", F.col("way_id") + top)
             for d in (old.where("run = 0"), more):
                 ways = ways.unionByName(d.select("way_id", "refs", "tags"))
-            rels = self.source.relations
+            written = old.where("run = 0").select("way_id", F.lit(0).alias("part"), F.col("way_id").alias("piece_id"), "refs")
+            written = written.unionByName(more.select(F.col("key.way_id").alias("way_id"), F.col("key.run").cast("int").alias("part"), F.col("way_id").alias("piece_id"), "refs"))
+            kept = self.source.relations.where(keeps_relation(tags.from_map(F.col("tags")), F.map_keys("tags")))
+            rels = rewrite(kept, self.source.ways, written, nodes.select("node_id"))
         else:
             nodes = nodes.withColumn("tags", F.lit(None).cast("map<string,string>"))
         write_osm_xml(nodes, ways, path, rels)

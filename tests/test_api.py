@@ -54,3 +54,24 @@ def test_check_and_presets(spark, tmp_path, capsys):
     assert len([x for x in capsys.readouterr().out.splitlines() if '"preset"' in x]) == len(PRESETS) == 12
     with pytest.raises(SystemExit):
         main(["build"])
+
+
+def test_relations_follow_their_ways(spark, tmp_path):
+    """Way 10 falls apart at an unknown node: members move to the piece at the junction; what lost a member goes."""
+    nodes = spark.createDataFrame([(i, -3.0 + (D if i == 6 else 0), 51 + D * i, None) for i in range(1, 7)], "node_id long, lon double, lat double, tags map<string,string>")
+    ways = spark.createDataFrame([(10, [1, 2, 99, 3, 4, 5], {"highway": "residential"}), (11, [4, 6], {"highway": "residential"})], "way_id long, refs array<long>, tags map<string,string>")
+    member = lambda *m: [{"type": t, "ref": r, "role": o} for t, r, o in m]
+    rels = spark.createDataFrame([
+        (1, {"type": "restriction", "restriction": "no_left_turn"}, member(("way", 10, "from"), ("node", 4, "via"), ("way", 11, "to"))),
+        (2, {"type": "restriction", "restriction": "no_left_turn"}, member(("way", 10, "from"), ("node", 99, "via"), ("way", 11, "to"))),
+        (3, {"type": "route", "route": "bus"}, member(("way", 10, ""), ("way", 77, ""))), (4, {"type": "multipolygon"}, member(("way", 10, "outer")))],
+        "rel_id long, tags map<string,string>, members array<struct<type:string,ref:long,role:string>>")
+    osm, out = str(tmp_path / "in.osm"), str(tmp_path / "out.osm")
+    write_osm_xml(nodes, ways, osm, rels)
+    custom = layer(tmp_path / "a.geojson", [(("LineString", [[-3 - D, 51 + 1.5 * D], [-3 + D, 51 + 1.5 * D]]), {"highway": "residential"})])
+    assert main(["build", "--custom", custom, "--out", out, "--osm", osm]) == 0
+    back = read_osm_xml(spark, out)
+    refs = {r.way_id: r.refs for r in back.ways.collect()}
+    assert refs[12] == [3, 4, 5] and refs[10][0] == 1 and refs[10][-1] == 2 and len(refs[10]) == 3
+    got = {r.rel_id: [(m.type, m.ref, m.role) for m in r.members] for r in back.relations.collect()}
+    assert got == {1: [("way", 12, "from"), ("node", 4, "via"), ("way", 11, "to")], 3: [("way", 10, ""), ("way", 12, "")]}
