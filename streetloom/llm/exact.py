@@ -48,7 +48,8 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
 
     Texts are equal if their bytes are after deleting ASCII white space; null counts as empty, and all empty texts
     are one group. The row with most code points in the original stays, then the smallest doc_id (null last), then
-    the first row: of wholly repeated rows exactly one stays. Empty table: no rows. Other columns are ignored.
+    the first row: of wholly repeated rows exactly one stays. Empty table: no rows. A very long text is read
+    whole; doc_id is a whole number. Other columns are ignored.
     """
     docs = stored(docs)
     narrow = materialize(_keyed(docs).drop("norm"), "digests")

@@ -150,7 +150,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> Dat
     A document is its ids and the end id; null and empty texts are the end id alone. Longer ones are cut so that only
     the first piece may be shorter than the capacity. Sizes are counted (at most `capacity` counters), planned on the
     driver, and every piece finds its place by its rank among the pieces of its size. Repeated rows and null ids are
-    documents of their own. Empty table: no rows. Other columns are ignored.
+    documents of their own. Empty table: no rows. A very long text is cut as any
+    other. Other columns are ignored.
     """
     spark = docs.sparkSession
     pieces = materialize(token_pieces(docs, tokenizer, capacity), "pieces")

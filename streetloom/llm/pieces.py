@@ -343,7 +343,8 @@ def segment_nbest(docs: DataFrame, model: str, n: int = 4, with_ids: bool = True
 
     ids_crc32: of the ids as little-endian 32-bit integers; decoded_crc32: of the decoded text in UTF-8. A text with
     fewer segmentations has fewer rows. Null and empty texts have one, without ids, of score 0. Repeated rows and null
-    ids are documents of their own. Empty table: no rows. Other columns are ignored.
+    ids are documents of their own. Empty table: no rows. A very long text is segmented whole; of
+    equal scores the forward pass's own way is first, then as the search reaches them. Other columns are ignored.
     """
     def work(batches):
         m = piece_model(model, n)

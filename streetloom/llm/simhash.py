@@ -141,7 +141,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
 
     Documents link if their fingerprints differ in at most `radius` (even) bits. Null text counts as empty; all texts
     without words have fingerprint 0 and link like any other. Repeated rows each have a row. Empty table: no rows.
-    Other columns are ignored.
+    A very long text is read whole. Ids of any type. Other columns are ignored.
     """
     out = _joined(docs, shingle, radius)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -167,7 +167,7 @@ def token_output(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes all documents to token files in the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32.
 
     Null and empty texts are the end id alone; null ids come first; repeated rows are documents of their own. An empty
-    table writes no file and gives no rows. Other columns are ignored.
+    table writes no file and gives no rows. A very long text is one frame by itself. doc_id is a whole number, or text of one. Other columns are ignored.
     """
     folder = new_path(docs.sparkSession, "tokens")
     return read_token_files(write_token_files(docs, tokenizer, folder), folder)
