@@ -7,22 +7,31 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FILE, ROW, chunks_of, materialize, with_row_key
 from .components import components
 
-#: Shingles are ordered by how many of about so many documents hold them, rare ones first; any order gives the same pairs.
-SAMPLE_DOCS = 5_000
+#: Shingles are ordered by how many of a tenth of the documents (of so many at least) hold them, rare ones first; any order gives the same pairs.
+#: A share, not a number: else the lists of what counts as rare get longer with the table, and their pairs with its square.
+SAMPLE_DOCS, SAMPLE_SHARE = 5_000, 0.1
 #: At most so many common shingles (12 bytes each) are told apart by their counts.
-COMMON = 100_000
+COMMON = 1_000_000
 #: Up to so many documents' keys (32 bytes each) are broadcast to find their texts; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
 #: A task handles about so many prefix shingles.
 TASK_TOKENS = 100_000
 #: Sets are counted by so many ranges of the hash, up to 255 in each: a bound of what two sets share before they are sent.
 RANGES = 256
+#: So many shared shingles before its own go with each: a pair is listed where it has none of them in common, not at each that it has.
+BEFORE = 4
+#: Before all pairs are listed, neighbours are verified in the lists of each document's first so many shared shingles.
+FIRST = 8
+#: And then, in lists that leave more than LONG sets to compare with, so many of them.
+LONG, PICKS = 64, 8
+#: So many pairs of a task are looked at, and so many held before repeats go.
+STEP_PAIRS, HELD_PAIRS = 500_000, 1_000_000
 _EPS = 1e-9
 
 
@@ -52,7 +61,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, in order, that at least three sampled documents hold, and in how many."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(1, docs.count())))
     picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
 
     def work(batches):
@@ -96,40 +105,81 @@ def _possible(least: float):
     return work
 
 
-def _alike(table: pa.Table, least: float, every: bool) -> pa.Table:
-    """Pairs of sets with a token in common that size and places in the order leave possible.
+def _alike(table: pa.Table, least: float, which: str) -> pa.Table:
+    """Pairs of sets with a token in common that size and places in the order leave possible, and of different components.
 
-    every: all of them that are of different components; else only those next to each other by size.
+    which: "next", those next to each other among sets of like size, in another order for each token; "some", in long
+    lists PICKS for each set outside the list's largest component; "all", for each of these all of the list, where a
+    pair goes on from the first token that it has in common, and from others only if more than BEFORE tokens lie between.
     """
-    token, at, n, sid, comp = (table.column(c).to_numpy() for c in ("token", "at", "n", "sid", "comp"))
-    order = np.lexsort((sid, n, token))
-    token, at, n, sid, comp = (x[order] for x in (token, at, n, sid, comp))
-    a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-
-    def flush():
+    columns = [table.column(c).to_numpy() for c in ("token", "at", "n", "sid", "comp", *(f"b{k}" for k in range(BEFORE)))]
+    if which != "next":
+        order = np.lexsort((columns[2], columns[0]))
+    else:
+        like = np.floor(np.log(columns[2]) / max(-math.log(least), 1e-6))
+        order = np.lexsort(((columns[3] ^ columns[0]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), like, columns[0]))
+    token, at, n, sid, comp, *before = (x[order] for x in columns)
+    none = np.zeros(0, np.int64)
+    a, b, held, most = [none], [none], 0, HELD_PAIRS
+
+    def distinct():
         x, y = np.concatenate(a), np.concatenate(b)
-        x, y = np.minimum(x, y), np.maximum(x, y)
         o = np.lexsort((y, x))
         x, y = x[o], y[o]
         new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
         return [x[new]], [y[new]]
 
-    i, step = np.arange(len(token)), 1
-    while len(i := i[i + step < len(token)]):
-        j = i + step
-        live = (token[i] == token[j]) & (n[i] >= least * n[j] - _EPS)  # sizes rise: further ones fail as well
-        i, j = i[live], j[live]
-        ok = (np.minimum(n[i] - at[i], n[j] - at[j]) >= least / (1 + least) * (n[i].astype(float) + n[j]) - _EPS) & (comp[i] != comp[j])
-        a.append(sid[i[ok]])
-        b.append(sid[j[ok]])
-        held += int(ok.sum())
-        if held > 4_000_000:
-            a, b = flush()
-            held = 0
-        step += 1
-        if not every:
-            break
-    a, b = flush()
+    def add(i, j):
+        """i, j: places in one list each."""
+        nonlocal a, b, held, most
+        small, large = np.minimum(n[i], n[j]).astype(float), np.maximum(n[i], n[j])
+        ok = (small >= least * large - _EPS) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= least / (1 + least) * (small + large) - _EPS) & (comp[i] != comp[j])
+        i, j = i[ok], j[ok]
+        for x in before if which == "all" else ():
+            for y in before:
+                new = (x[i] != y[j]) | (x[i] == token[i])  # its own token stands for none
+                i, j = i[new], j[new]
+        a.append(np.minimum(sid[i], sid[j]))
+        b.append(np.maximum(sid[i], sid[j]))
+        held += len(i)
+        if held > most:
+            a, b = distinct()
+            held = len(a[0])
+            most = max(HELD_PAIRS, 2 * held)
+
+    if which == "next":
+        i = np.flatnonzero(token[1:] == token[:-1])
+        add(i, i + 1)
+    elif len(token):
+        row = np.cumsum(np.append(False, token[1:] != token[:-1]))
+        o = np.lexsort((comp, row))
+        first = np.flatnonzero(np.append(True, (row[o][1:] != row[o][:-1]) | (comp[o][1:] != comp[o][:-1])))
+        size = np.diff(np.append(first, len(o)))
+        by = np.lexsort((size, row[o][first]))  # the last of each list is its largest component
+        last = by[np.append(row[o][first][by][1:] != row[o][first][by][:-1], True)]
+        minor = comp != comp[o][first][last][row]
+        m = np.flatnonzero(minor)
+        key = (row << 32) | n
+        lo = np.searchsorted(key, (row[m] << 32) | np.ceil(least * n[m] - 1e-6).astype(np.int64))
+        hi = np.searchsorted(key, (row[m] << 32) | np.floor(n[m] / least + 1e-6).astype(np.int64), "right")
+        if which == "some":
+            m, lo, size = m[long := hi - lo > LONG], lo[long], (hi - lo)[long]
+            for k in range(PICKS):
+                draw = ((sid[m] ^ token[m]).view(np.uint64) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+                add(m, lo + ((draw >> np.uint64(24)) % size.astype(np.uint64)).astype(np.int64))
+            m, lo, hi = m[:0], lo[:0], hi[:0]
+        ends = np.cumsum(hi - lo)
+        at_m = 0
+        while at_m < len(m):
+            done = ends[at_m - 1] if at_m else 0
+            to = max(at_m + 1, int(np.searchsorted(ends, done + STEP_PAIRS, "right")))
+            k = (hi - lo)[at_m:to]
+            i = np.repeat(m[at_m:to], k)
+            j = np.arange(len(i)) + np.repeat(lo[at_m:to] - (np.cumsum(k) - k), k)
+            once = ~minor[j] | (j > i)
+            add(i[once], j[once])
+            at_m = to
+    a, b = distinct()
     return pa.table({"a": a[0], "b": b[0]})
 
 
@@ -137,8 +187,8 @@ def shingle_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle: i
     """links(a, b) of fingerprints, and more so that all are connected whose documents' shingle sets have Jaccard similarity >= least.
 
     rows: of every document of docs its row key, fp, and of its set the digest (sid), size (n), counts and prefix. First
-    the neighbours in each token's list are verified, then all pairs that are not yet connected: so a large group of
-    near copies needs few of its pairs. Documents without words link no others here.
+    neighbours in the tokens' lists are verified, then a few more in long lists, then all pairs that are not yet
+    connected: so a large group of near copies that are mostly linked needs few of its pairs. Documents without words link no others here.
     """
     links = materialize(links, "links")
     some = rows.where("n > 0")
@@ -157,6 +207,8 @@ def shingle_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle: i
 
     tokens = tokens.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
     shared = materialize(tokens.groupBy("part").applyInArrow(repeated, shape), "tokens")
+    w = Window.partitionBy("sid").orderBy("at")
+    shared = materialize(shared.select("*", *(F.coalesce(F.lag("token", k + 1).over(w), "token").alias(f"b{k}") for k in range(BEFORE)), F.row_number().over(w).alias("rank")), "tokens")
     text = with_row_key(docs, F.col("text"))
 
     def listed(batches):
@@ -165,10 +217,10 @@ def shingle_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle: i
                 c = b.slice(lo, 200)
                 yield pa.record_batch({"sid": c.column(0), "fp": c.column(1), "h": _lists([hash_set(hashes(split(t or ""), shingle)) for t in c.column(2).to_pylist()])})
 
-    def verified(found: DataFrame, every: bool) -> DataFrame:
+    def verified(found: DataFrame, which: str) -> DataFrame:
         comp = sets.join(found, F.col("set_fp") == F.col("node"), "left").select(F.col("sid").alias("k"), F.coalesce("component", "set_fp").alias("comp"))
-        d = shared.join(comp, F.col("sid") == F.col("k")).select("part", "token", "at", "n", "sid", "comp")
-        pairs = d.groupBy("part").applyInArrow(lambda t: _alike(t, least, every), "a long, b long").distinct()
+        d = (shared if which == "all" else shared.where(F.col("rank") <= FIRST)).join(comp, F.col("sid") == F.col("k")).select("part", "token", "at", "n", "sid", "comp", *(f"b{k}" for k in range(BEFORE)))
+        pairs = d.groupBy("part").applyInArrow(lambda t: _alike(t, least, which), "a long, b long").distinct()
         pairs = materialize(pairs, "pairs")  # written first: no two Python operators share a stage
         x, y = (sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("counts").alias(f"r{s}")) for s in "ab")
         pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_possible(least), "a long, b long")
@@ -185,5 +237,6 @@ def shingle_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle: i
         return materialize(near.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b"), "near")
 
     links = materialize(links.union(equal), "links")
-    links = links.union(verified(components(links), False))
-    return links.union(verified(components(links), True))
+    for which in ("next", "some"):
+        links = links.union(verified(components(links), which))
+    return links.union(verified(components(links), "all"))

@@ -19,7 +19,7 @@ BITS = 64
 #: About so many distinct fingerprints share a variant prefix; more of them mean longer prefixes.
 PER_PREFIX = 500
 #: A task handles about so many variants of one prefix; a prefix with more is split by a hash of the variant.
-TASK_VARIANTS = 6_000_000
+TASK_VARIANTS = 3_000_000
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
