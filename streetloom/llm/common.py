@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ FILE, ROW = "__lw_file", "__lw_row"
 SPACES = " \t\n\x0b\x0c\r"
 
 _own_dir: dict[str, str] = {}
+#: What this worker keeps from task to task, by the operator that uses it.
+_kept: dict[str, dict] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -158,6 +163,26 @@ class TextBuffer:
         return v * np.uint64(0xC4CEB9FE1A85EC53)
 
 
+def kept(operator: str) -> dict:
+    """What the operator keeps in this worker from task to task, by key."""
+    return _kept.setdefault(operator, {})
+
+
+def begin_task(operator: str) -> None:
+    """A worker serves one operator after the other: what others than this one keep in it goes, free memory goes back to the system."""
+    others = [_kept.pop(k) for k in [*_kept] if k != operator]
+    kept(operator)
+    if others:
+        others.clear()
+        TextBuffer._pow = TextBuffer._inv = np.ones(1, np.uint64)
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_groups(texts: list[str], most_chars: int = 400_000):
     """(first, last) of runs of texts of at most so many characters; a longer text is a run by itself."""
     first, size = 0, 0

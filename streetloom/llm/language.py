@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TextBuffer, held_out, text_groups
+from .common import TextBuffer, begin_task, held_out, text_groups
 
 WORD_BITS, GRAM_BITS = 18, 16
 #: About so many documents of each language are learned from (those under a hash threshold), ...
@@ -283,6 +283,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     field = docs.sparkSession.sparkContext.broadcast(fit_language(docs, sample))
 
     def name(batches):
+        begin_task("language")
         for b in batches:
             lang, score = field.value.predict(b.column(2).to_pylist())
             yield pa.record_batch({"doc_id": b.column(0), "held_out": b.column(1), "lang_pred": pa.array(lang, pa.string()), "score": score})
@@ -301,6 +302,7 @@ def keep_known_language(docs: DataFrame, least: float = 0.3, sample: int = SAMPL
     at = docs.columns.index("text")
 
     def keep(batches):
+        begin_task("language")
         for b in batches:
             lang, score = field.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array((np.array(lang) != "und") & (score >= least)))

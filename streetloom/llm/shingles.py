@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, chunks_of, materialize, with_row_key
+from .common import FILE, ROW, begin_task, chunks_of, materialize, with_row_key
 from .components import components
 
 #: Shingles are ordered by how many of a tenth of the documents (of so many at least) hold them, rare ones first; any order gives the same pairs.
@@ -65,6 +65,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
 
     def work(batches):
+        begin_task("simhash")
         for b in batches:
             for t in (t.as_py() for t in b.column(0)):  # one by one: little memory
                 yield pa.record_batch({"h": hash_set(hashes(split(t or ""), shingle)).view(np.int64)})
@@ -212,6 +213,7 @@ def shingle_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle: i
     text = with_row_key(docs, F.col("text"))
 
     def listed(batches):
+        begin_task("simhash")
         for b in batches:
             for lo in range(0, len(b), 200):
                 c = b.slice(lo, 200)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, local_components, materialize, stored, with_row_key
+from .common import FILE, ROW, begin_task, local_components, materialize, stored, with_row_key
 from .components import components
 from .shingles import _lists, common_shingles, hash_set, hashes, prefix, ranges, shingle_links, split
 
@@ -39,6 +39,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp (signed long) and row key of every document; null text counts as empty, without words fp is 0."""
 
     def work(batches):
+        begin_task("simhash")
         for b in batches:
             fp = np.fromiter((fingerprint(t or "", shingle) for t in b.column(1).to_pylist()), np.uint64, len(b))
             yield pa.record_batch({"doc_id": b.column(0), "f": b.column(2), "r": b.column(3), "fp": fp.view(np.int64)})
@@ -52,6 +53,7 @@ def sketches(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def work(batches):
+        begin_task("simhash")
         for b in batches:
             for lo in range(0, len(b), 200):
                 c = b.slice(lo, 200)

@@ -7,6 +7,8 @@ from array import array
 
 import numpy as np
 
+from .common import begin_task, kept
+
 #: Pieces that one worker learns before the oldest go: those not used since the last time this many were new.
 CACHE_PIECES = 350_000
 #: Texts are encoded in groups of about so many characters.
@@ -20,8 +22,6 @@ _SPACE = "\u0120"
 #: Id that ends a document.
 END = (2).to_bytes(4, "little")
 
-_encoders: dict[str, Encoder] = {}
-
 
 class Encoder:
     """ids of a text as little-endian unsigned 32-bit integers, as the library gives them with add_special_tokens=False.
@@ -90,8 +90,10 @@ class Encoder:
 
 
 def encoder(path: str, limit: int = CACHE_PIECES) -> Encoder:
-    """This worker's encoder of the vocabulary at path, its cache bounded by limit from now on."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    _encoders[path].limit = limit
-    return _encoders[path]
+    """This worker's encoder of the vocabulary at path, its cache bounded by limit from now on; goes when another operator's task begins."""
+    begin_task("tokens")
+    held = kept("tokens")
+    if path not in held:
+        held[path] = Encoder(path)
+    held[path].limit = limit
+    return held[path]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TextBuffer, held_out, text_groups
+from .common import TextBuffer, begin_task, held_out, text_groups
 
 #: Hash space of the terms: 2^20.
 BITS = 20
@@ -151,6 +151,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sampl
     texts = docs.select(docs["doc_id"].alias("k"), docs["text"].alias("t")).join(F.broadcast(pick), F.col("k") == F.col("doc_id"))  # 2 x sample rows
 
     def hashed(batches):
+        begin_task("toxicity")
         for b in batches:
             found = list(_buckets([t or "" for t in b.column(2).to_pylist()]))
             yield pa.record_batch({"h": b.column(0), "y": b.column(1), "n": pa.array([len(x) for x in found], pa.int64()), "b": pa.array([x.tobytes() for x in found], pa.binary())})
@@ -173,6 +174,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     machine = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, sample))
 
     def score(batches):
+        begin_task("toxicity")
         for b in batches:
             s = machine.value.scores([t or "" for t in b.column(2).to_pylist()])
             yield pa.record_batch({"doc_id": b.column(0), "held_out": b.column(1), "score": s, "predicted": (s >= 0.5).astype(np.int32)})
@@ -191,6 +193,7 @@ def keep_harmless(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     at = docs.columns.index("text")
 
     def keep(batches):
+        begin_task("toxicity")
         for b in batches:
             yield b.filter(pa.array(machine.value.scores([t or "" for t in b.column(at).to_pylist()]) < 0.5))
 

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from streetloom.llm import components, embeddings, exact, language, packing, pieces, sharding, simhash, token_files, toxicity, urls
+from streetloom.llm import common, components, embeddings, exact, language, packing, pieces, sharding, simhash, token_files, tokens, toxicity, urls
 from streetloom.llm.cqf import CountingQuotientFilter
 from streetloom.llm.tokens import Encoder
 
@@ -54,6 +54,18 @@ def test_encoder_with_added_tokens(texts):
     assert [e + b"\2\0\0\0" for e in enc.encode(texts)] == [ids_of(t) for t in texts]
 
 
+def test_worker_lets_go_of_other_operators():
+    """A worker goes from stage to stage of the pipeline: the encoder's cache must not stay while others work."""
+    import weakref
+
+    enc = tokens.encoder(BPE)
+    assert tokens.encoder(BPE) is enc
+    held = weakref.ref(enc)
+    del enc
+    common.begin_task("language")
+    assert held() is None
+
+
 def test_packing(docs, empty):
     rows = packing.pack_documents(docs, BPE, 64).collect()
     want = sorted((i or -1, len(b := ids_of(t)) // 4, zlib.crc32(b)) for i, t in TEXTS)
