@@ -54,6 +54,37 @@ def test_encoder_with_added_tokens(texts):
     assert [e + b"\2\0\0\0" for e in enc.encode(texts)] == [ids_of(t) for t in texts]
 
 
+class _Counted:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, model):
+        self.own, self.texts = model, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.own.encode_batch_fast(texts, **more)
+
+
+def test_known_words_with_marks_are_not_encoded_again():
+    enc = Encoder(BPE)
+    enc.encode(["Anders eder, \u00e9der onthe. Onthe", "on.\neder"])
+    for name in {"model", "words"} & vars(enc).keys():
+        setattr(enc, name, _Counted(getattr(enc, name)))
+    texts = ["Anders onthe, eder. onthe.\neder, \u00e9der.", "on eder\neder"]
+    assert [e + b"\2\0\0\0" for e in enc.encode(texts)] == [ids_of(t) for t in texts]
+    assert not {w for name in {"model", "words"} & vars(enc).keys() for t in getattr(enc, name).texts for w in re.findall(r"\w+", t.replace("\u0120", " "))} & {"eder", "onthe", "\u00e9der"}
+
+
+def test_encoder_on_odd_words():
+    """Marks, line breaks and letters in any order, in a cache that forgets early."""
+    some = [" ", " ", " ", "\n", "a", "word", "Eder", "\u00e9t\u00e9", "\u00df", "\u00d7", "\u0250", ".", ",", "!", "?", ":", "'s", "don't", "12", "\u00a0", "\t", "\r", "\x1c", "\u4e2d", "\U0001f600", "\u0301", "\u0120", "-", "<|endoftext|>"]
+    rng, enc = np.random.default_rng(3), Encoder(BPE)
+    for _ in range(500):
+        enc.limit = int(rng.choice([2, 10, 1000]))
+        texts = ["".join(rng.choice(some, rng.integers(0, 15))) for _ in range(rng.integers(0, 7))]
+        assert [np.frombuffer(e, "<u4").tolist() for e in enc.encode(texts)] == [enc.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_worker_lets_go_of_other_operators():
     """A worker goes from stage to stage of the pipeline: the encoder's cache must not stay while others work."""
     import weakref
