@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from streetloom.llm.common import materialize
+from streetloom.llm.common import materialize, release_driver
 from streetloom.llm.exact import keep_first_copies
 from streetloom.llm.language import keep_known_language
 from streetloom.llm.packing import pack_documents
@@ -17,7 +17,9 @@ from streetloom.llm.toxicity import keep_harmless
 BATCH_ROWS = 2_000
 
 
-def _small_batches(spark: SparkSession) -> None:
+def _begin(spark: SparkSession) -> None:
+    """Small batches, and a driver without what earlier stages left in it."""
+    release_driver(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
@@ -25,31 +27,31 @@ def _small_batches(spark: SparkSession) -> None:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no language go (no letter, or no language likelier than 0.3)."""
-    _small_batches(spark)
+    _begin(spark)
     return keep_known_language(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
-    _small_batches(spark)
+    _begin(spark)
     return keep_harmless(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    _small_batches(spark)
+    _begin(spark)
     return keep_first_copies(docs)
 
 
 def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more, or at most 4 of 64 bits apart."""
-    _small_batches(spark)
+    _begin(spark)
     return keep_one_of_group(docs, shingle=5, radius=4, least=0.8)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, in sequences of at most 1024 tokens."""
-    _small_batches(spark)
+    _begin(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 

@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -176,6 +177,11 @@ def begin_task(operator: str) -> None:
         others.clear()
         TextBuffer._pow = TextBuffer._inv = np.ones(1, np.uint64)
         gc.collect()
+    _trim()
+
+
+def _trim() -> None:
+    """Free memory of this process goes back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -183,6 +189,25 @@ def begin_task(operator: str) -> None:
         pass
 
 
+def release_driver(spark: SparkSession) -> None:
+    """The driver's free memory goes back to the system, between jobs: Python's, the JVM's heap, and what the JVM's C library holds.
+
+    The last is freed native memory that stays in the arenas of the JVM's hundreds of threads; only HotSpot on Linux can trim it.
+    """
+    TextBuffer._pow = TextBuffer._inv = np.ones(1, np.uint64)
+    gc.collect()
+    _trim()
+    jvm = spark.sparkContext._jvm
+    jvm.java.lang.System.gc()
+    try:
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)  # the last two, arguments and their types, stay null
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")  # its class is hidden
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # another JVM or system
+        pass
+
+
 def text_groups(texts: list[str], most_chars: int = 400_000):
     """(first, last) of runs of texts of at most so many characters; a longer text is a run by itself."""
     first, size = 0, 0

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, begin_task, chunks_of, materialize, with_row_key
+from .common import FILE, ROW, begin_task, chunks_of, materialize, release_driver, with_row_key
 from .components import components
 
 #: Shingles are ordered by how many of a tenth of the documents (of so many at least) hold them, rare ones first; any order gives the same pairs.
@@ -192,6 +192,7 @@ def shingle_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle: i
     connected: so a large group of near copies that are mostly linked needs few of its pairs. Documents without words link no others here.
     """
     links = materialize(links, "links")
+    release_driver(docs.sparkSession)
     some = rows.where("n > 0")
     sets = materialize(some.groupBy("sid").agg(F.min(F.struct("fp", FILE, ROW, "n", "counts")).alias("s")).select("sid", F.col("s.fp").alias("set_fp"), F.col(f"s.{FILE}").alias("f"), F.col(f"s.{ROW}").alias("r"), "s.n", "s.counts"), "sets")
     equal = some.select("sid", "fp").join(sets.select("sid", "set_fp"), "sid").where("fp <> set_fp").select(F.col("fp").alias("a"), F.col("set_fp").alias("b")).distinct()
@@ -220,6 +221,7 @@ def shingle_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle: i
                 yield pa.record_batch({"sid": c.column(0), "fp": c.column(1), "h": _lists([hash_set(hashes(split(t or ""), shingle)) for t in c.column(2).to_pylist()])})
 
     def verified(found: DataFrame, which: str) -> DataFrame:
+        release_driver(docs.sparkSession)
         comp = sets.join(found, F.col("set_fp") == F.col("node"), "left").select(F.col("sid").alias("k"), F.coalesce("component", "set_fp").alias("comp"))
         d = (shared if which == "all" else shared.where(F.col("rank") <= FIRST)).join(comp, F.col("sid") == F.col("k")).select("part", "token", "at", "n", "sid", "comp", *(f"b{k}" for k in range(BEFORE)))
         pairs = d.groupBy("part").applyInArrow(lambda t: _alike(t, least, which), "a long, b long").distinct()
@@ -227,6 +229,7 @@ def shingle_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle: i
         x, y = (sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("counts").alias(f"r{s}")) for s in "ab")
         pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_possible(least), "a long, b long")
         pairs = materialize(pairs, "pairs")
+        release_driver(docs.sparkSession)
         wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
         wanted = materialize(sets.join(wanted, F.col("sid") == F.col("w")).select("sid", "set_fp", "f", "r"), "wanted")
         if wanted.count() <= BROADCAST_ROWS:

@@ -97,6 +97,23 @@ def test_worker_lets_go_of_other_operators():
     assert held() is None
 
 
+def test_stages_let_go_of_what_the_driver_keeps(spark, docs):
+    """The driver goes through all stages too: neither Python's tables nor the JVM's garbage may stay for the next stage."""
+    import gc
+    import corpus_pipeline
+
+    common.TextBuffer(["a" * 100])
+    assert len(common.TextBuffer._pow) > 1
+    jvm = spark.sparkContext._jvm
+    thing = jvm.java.lang.Object()
+    held = jvm.java.lang.ref.WeakReference(thing)
+    del thing
+    gc.collect()
+    corpus_pipeline.best_fit_packing(spark, docs, "")
+    assert len(common.TextBuffer._pow) == 1
+    assert held.get() is None
+
+
 def test_packing(docs, empty):
     rows = packing.pack_documents(docs, BPE, 64).collect()
     want = sorted((i or -1, len(b := ids_of(t)) // 4, zlib.crc32(b)) for i, t in TEXTS)
